@@ -46,24 +46,30 @@ def _covered(windows: Column) -> Column:
     return let(let(pairs, repeated), width)
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append the rule measures of each row's whole text under a ``_q`` struct."""
-    df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_w", F.filter(F.split("_t", WORD_GAP, -1), lambda w: w != ""))
-    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    n = F.size("_h")
-    df = df.withColumn("_v", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    repeats = F.when(F.size(F.array_distinct("_v")) < F.size("_v"), _covered(F.col("_v"))).otherwise(0)
-    df = df.withColumn("_q", F.struct(
-        F.size("_h").cast("long").alias("n_words"),
-        F.length(F.translate("_t", WHITE, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeats.cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-    ))
-    return df.drop("_t", "_w", "_h", "_v", "_l")
+def measures(text: Column) -> Column:
+    """The rule measures of a whole text as one struct. Arrays are bound, so that no rewrite repeats them by element."""
+
+    def windows(h: Column) -> Column:
+        n = F.size(h)
+        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+
+    def from_text(t: Column) -> Column:
+        words = F.transform(F.filter(F.split(t, WORD_GAP, -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return let(words, lambda h: let(lines, lambda x: let(windows(h), lambda v: out(t, h, x, v))))
+
+    def out(t: Column, h: Column, lines: Column, v: Column) -> Column:
+        repeats = F.when(F.size(F.array_distinct(v)) < F.size(v), _covered(v)).otherwise(0)
+        return F.struct(
+            F.size(h).cast("long").alias("n_words"),
+            F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeats.cast("long").alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
+        )
+
+    return let(F.coalesce(text, F.lit("")), from_text)
 
 
 def _base(q: Column) -> Column:
@@ -95,18 +101,18 @@ def _judged(measured: DataFrame, hosts: DataFrame) -> DataFrame:
     out = measured.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
     soft, rate = _soft(F.col("_q")), F.col("_rate")
     verdict = F.when(rate >= BLOCKED, False).when(rate < TRUSTED, soft < 2).otherwise(soft == 0)
-    return out.withColumn("_failed", _base(F.col("_q"))).withColumn("_kept", ~F.col("_failed") & verdict)
+    failed = _base(F.col("_q"))
+    return out.withColumn("_failed", failed).withColumn("_kept", F.when(failed, False).otherwise(F.coalesce(verdict, soft == 0)))
 
 
 def quality_rules(df: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, measures, base_failed, kept, host_rate."""
-    measured = measure(df.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")))
-    measured = materialize(measured.select("doc_id", "host", "_q"), "measures")
+    measured = materialize(df.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), measures(F.col(text)).alias("_q")), "measures")
     out = _judged(measured, host_rates(measured))
     return out.select("doc_id", *[F.col("_q")[m].alias(m) for m in _MEASURES], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rate").alias("host_rate"))
 
 
 def keep_good(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows whose verdict is kept, with the input's columns, whatever these are called."""
-    rows = measure(df.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text")))
+    rows = df.select(F.struct("*").alias("row"), F.col(host).alias("host"), measures(F.col(text)).alias("_q"))
     return _judged(rows, host_rates(rows)).where("_kept").select("row.*")

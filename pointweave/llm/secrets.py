@@ -136,9 +136,9 @@ def _band(length: Column) -> Column:
     return out
 
 
-def thresholds(scanned: DataFrame) -> dict[int, float]:
+def thresholds(df: DataFrame, text: str) -> dict[int, float]:
     """Least evidence per length band under Benjamini-Hochberg; from a histogram of at most 4 x 1601 rows."""
-    tokens = scanned.select(F.explode("_candidates").alias("c")).select("c.value")
+    tokens = df.select(F.explode(_scan(F.col(text))["candidates"]).alias("c")).select("c.value")
     bins = tokens.select(_band(F.length("value")).alias("band"), F.least(F.floor(4 * F.greatest(_evidence(F.col("value")), F.lit(0.0))), F.lit(1600)).alias("bin"))
     found: dict[int, float] = {}
     rows = bins.groupBy("band", "bin").count().collect()
@@ -152,26 +152,26 @@ def thresholds(scanned: DataFrame) -> dict[int, float]:
     return found
 
 
-def _scanned(df: DataFrame) -> DataFrame:
-    """df has a column text. Appends _base and _candidates."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    parts = [_spans(text, *PATTERNS[k], i) for i, k in enumerate(KINDS[:3])]
-    df = df.withColumn("_base", F.array_sort(F.concat(*parts)))
-    return df.withColumn("_candidates", _candidates(F.col("_base"), text))
+def _scan(text: Column) -> Column:
+    """Struct of the pattern spans and the candidates of a whole text."""
 
+    def from_text(t: Column) -> Column:
+        base = F.array_sort(F.concat(*[_spans(t, *PATTERNS[k], i) for i, k in enumerate(KINDS[:3])]))
+        return let(base, lambda b: F.struct(b.alias("base"), _candidates(b, t).alias("candidates")))
 
-def _with_random(df: DataFrame) -> DataFrame:
-    df = _scanned(df)
-    limits = thresholds(df)
+    return let(F.coalesce(text, F.lit("")), from_text)
+
+
+def _random(candidates: Column, limits: dict[int, float]) -> Column:
+    """The candidates that pass the battery and the false-discovery control."""
 
     def chosen(c: Column) -> Column:
         least = F.lit(float("inf"))
         for band, value in limits.items():
             least = F.when(_band(F.length(c["value"])) == band, value).otherwise(least)
-        return (_evidence(c["value"]) >= least) & _passes_battery(c["value"])
+        return F.when(_evidence(c["value"]) >= least, _passes_battery(c["value"])).otherwise(False)
 
-    some = F.size("_candidates") > 0
-    return df.withColumn("_random", F.when(some, F.filter("_candidates", chosen)).otherwise(F.array().cast(_SPAN)))
+    return F.filter(candidates, chosen)
 
 
 def _digest(spans: Column) -> Column:
@@ -187,13 +187,17 @@ def _by_place(spans: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, the count of each kind, the digest of the pattern spans, and all spans as text."""
-    out = _with_random(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    of_kind = lambda i: F.size(F.filter("_base", lambda s: s["kind"] == i)).cast("long")
+    found = df.select(F.col(key).alias("doc_id"), _scan(F.col(text)).alias("s"))
+    limits = thresholds(df, text)
+    found = found.select("doc_id", F.col("s.base").alias("base"), _random(F.col("s.candidates"), limits).alias("more"))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return out.select("doc_id", *counts, F.sha2(_digest(_by_place(F.col("_base"))), 256).alias("base_sha256"), _digest(_by_place(F.concat("_base", "_random"))).alias("spans"), F.size("_random").cast("long").alias("n_random"))
+    every = _digest(_by_place(F.concat("base", "more")))
+    return found.select("doc_id", *counts, F.sha2(_digest(_by_place(F.col("base"))), 256).alias("base_sha256"), every.alias("spans"), F.size("more").cast("long").alias("n_random"))
 
 
 def drop_leaky(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows without any secret, with the input's columns."""
-    out = _with_random(df.select(F.struct("*").alias("row"), F.col(text).alias("text")))
-    return out.where((F.size("_base") == 0) & (F.size("_random") == 0)).select("row.*")
+    limits = thresholds(df, text)
+    clean = let(_scan(F.col(text)), lambda s: F.when(F.size(s["base"]) == 0, F.size(_random(s["candidates"], limits)) == 0).otherwise(False))
+    return df.select(F.struct("*").alias("row"), clean.alias("clean")).where("clean").select("row.*")
