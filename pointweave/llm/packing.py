@@ -16,6 +16,7 @@ An empty table gives an empty result. Other columns do not matter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pointweave.llm.common import materialize, small
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker keeps at a time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 ROUNDS = 300
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
@@ -47,32 +48,31 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, docs: list[list[str]]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list({w for t in texts for w in t.split(" ") if w not in self.known})
+        new = list(set().union(*docs).difference(self.known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.known.update(zip(part, ids, strict=True))
 
-    def ids(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known[w] for w in text.split(" ")])
+    def ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, seen = WordTokens(path), TaskContext.get().partitionId(), Counter()
-        spaces = str.maketrans("\t\n\x0b\x0c\r", "     ")
+        white = re.compile("[\t\n\x0b\x0c\r]")
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 256):
-                docs = [(t or "").translate(spaces) for t in texts.slice(lo, 256).to_pylist()]
+                docs = [white.sub(" ", t or "").split(" ") for t in texts.slice(lo, 256).to_pylist()]
                 tokens.learn(docs)
                 cols: list[list] = [[] for _ in range(7)]
-                for key, text in zip(keys.slice(lo, 256).to_pylist(), docs, strict=True):
-                    ids = tokens.ids(text) + END_ID.to_bytes(4, "little")
+                for key, words in zip(keys.slice(lo, 256).to_pylist(), docs, strict=True):
+                    ids = tokens.ids(words) + END_ID.to_bytes(4, "little")
                     for k in range(0, len(ids), 4 * capacity):
                         own = ids[k : k + 4 * capacity]
                         n = len(own) // 4

@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import quality_rules, secrets
+from pointweave.llm import decontaminate, packing, quality_rules, secrets
 from pointweave.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file on this machine; every machine of the cluster has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -19,7 +34,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op5_secret_scan, op6_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
