@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import decontaminate, packing, quality_rules, secrets
+from pointweave.llm import decontaminate, jaccard, packing, quality_rules, secrets
 from pointweave.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +38,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op5_secret_scan, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_secret_scan, op6_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
