@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import decontaminate, jaccard, packing, quality_rules, secrets, unigram
+from pointweave.llm import decontaminate, jaccard, packing, quality_rules, secrets, suffix, unigram
 from pointweave.llm.common import table
 
 
@@ -37,12 +37,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_secret_scan, op6_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_benchmark_decontamination, op5_secret_scan, op6_quality_rules, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
