@@ -15,8 +15,8 @@ An empty table gives an empty result. Other columns do not matter.
 
 from __future__ import annotations
 
+import functools
 import os
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -39,36 +39,63 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 
 
 class WordTokens:
-    """Token ids of a text, by word: the tokenizer's rules never join text over ASCII white space."""
+    """Token ids of a text, by word: the tokenizer's rules never join text over ASCII white space.
+
+    Words are folded to ASCII lower case first where that cannot change their ids: not where a special token's string or
+    a combining mark may stand (some lower-case letters compose with marks that their capitals do not compose with).
+    """
+
+    SPECIAL, MARK = b"<|", "<|startoftext|>"
+    WHITE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.known: dict[bytes, bytes] = {}
+
+    def words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode().translate(self.WHITE)
+        plain = self.SPECIAL not in raw and b"\xcc" not in raw and b"\xcd" not in raw
+        return (raw.lower() if plain else raw).split(b" ")
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, docs: list[list[str]]) -> None:
+    def learn(self, docs: list[list[bytes]]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = list(set().union(*docs).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.known.update(zip(part, ids, strict=True))
-
-    def ids(self, words: list[str]) -> bytes:
+        alone = [w for w in new if self.SPECIAL in w]
+        self.known.update(zip(alone, (x.tobytes() for x in self._encode([w.decode() for w in alone])), strict=True))
+        new = [w for w in new if self.SPECIAL not in w] if alone else new
+        for i in range(0, len(new), 500):  # many words in one call, parted by a special token
+            part = new[i : i + 500]
+            (ids,) = self._encode([self.MARK.join(w.decode() for w in part) + self.MARK])
+            raw, lo = ids.tobytes(), 0
+            for w, end in zip(part, (4 * np.flatnonzero(ids == self.mark)).tolist(), strict=True):
+                self.known[w] = raw[lo:end]
+                lo = end + 4
+
+    def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
+@functools.cache
+def shared_tokens(path: str) -> WordTokens:
+    """One tokenizer, with its known words, for all tasks of a worker."""
+    return WordTokens(path)
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seen = WordTokens(path), TaskContext.get().partitionId(), Counter()
-        white = re.compile("[\t\n\x0b\x0c\r]")
+        tokens, part, seen = shared_tokens(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 256):
-                docs = [white.sub(" ", t or "").split(" ") for t in texts.slice(lo, 256).to_pylist()]
+                docs = [tokens.words(t) for t in texts.slice(lo, 256).to_pylist()]
                 tokens.learn(docs)
                 cols: list[list] = [[] for _ in range(7)]
                 for key, words in zip(keys.slice(lo, 256).to_pylist(), docs, strict=True):

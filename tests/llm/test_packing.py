@@ -39,7 +39,7 @@ def test_plan_is_whole_and_near_the_lower_bound():
 
 
 def test_pieces_equal_brute_force(spark):
-    texts = [None, "", " ", "Hello  World\n it's 42  é́ <|endoftext|>x don't y \x1c z", "word " * 9000, "a b c", "a b c", "ÅNGSTRÖM ﬁ İ Σς", "x" * 5000, "́ e ́"]
+    texts = [None, "", " ", "Hello  World\n it's 42  é́ <|endoftext|>x don't y \x1c z", "word " * 9000, "a b c", "a b c", "ÅNGSTRÖM ﬁ İ Σς", "x" * 5000, "́ e ́", "H\u0331A T\u0308 W\u030a", "<|STARTOFTEXT|> A<|startoftext|>B <|EndOfText|>", "A<|b"]
     rows = [(i // 2, t, 1, 2, "clash") for i, t in enumerate(texts * 3)]
     got = p.pack(spark.createDataFrame(rows, SCHEMA), PATH).collect()
     t = tokenizers.Tokenizer.from_file(PATH)
