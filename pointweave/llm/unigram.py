@@ -43,14 +43,32 @@ class TrieCounter:
     """Counts tokens of words; one forward step per distinct prefix."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: every ending of a piece, with its score if it is a piece itself: a search backwards stops at the first miss
+        self.endings: dict[str, float | None] = {piece[k:]: None for piece in scores for k in range(1, len(piece))}
+        self.endings.update(scores)
         self.known: dict[str, int] = {}
 
+    def step(self, full: str, end: int, best: list[float], count: list[int]) -> None:
+        """Append the forward score and token count of full[:end], given those of all shorter prefixes."""
+        endings = self.endings
+        width = len(full[end - 1].encode("utf-8", "surrogatepass"))
+        top, n = best[end - 1] + BYTE_SCORE * width, count[end - 1] + width
+        begin = end - 1
+        while begin >= 0:
+            s = endings.get(full[begin:end], 0)
+            if s == 0:
+                break
+            if s is not None:
+                s += best[begin]
+                if s >= top:
+                    k = count[begin] + 1
+                    if s > top or k < n:
+                        top, n = s, k
+            begin -= 1
+        best.append(top)
+        count.append(n)
+
     def learn(self, new: list[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        get, longest = self.scores.get, self.longest
         path = ""
         best, count = [0.0], [0]  # per prefix length of the current trie path
         for word in sorted(new):
@@ -60,21 +78,13 @@ class TrieCounter:
                 same += 1
             del best[same + 1 :], count[same + 1 :]
             for end in range(same + 1, len(full) + 1):
-                width = len(full[end - 1].encode("utf-8", "surrogatepass"))
-                top, n = best[end - 1] + BYTE_SCORE * width, count[end - 1] + width
-                for begin in range(max(0, end - longest), end):
-                    s = get(full[begin:end])
-                    if s is not None:
-                        s += best[begin]
-                        k = count[begin] + 1
-                        if s > top or (s == top and k < n):
-                            top, n = s, k
-                best.append(top)
-                count.append(n)
+                self.step(full, end, best, count)
             path = full
             self.known[word] = count[-1]
 
     def totals(self, texts: list[str | None]) -> list[int]:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         docs = [[w for w in _WORD.split(t or "") if w] for t in texts]
         self.learn(list(set().union(*docs).difference(self.known)))
         return [sum(map(self.known.__getitem__, d)) for d in docs]

@@ -47,21 +47,22 @@ def test_counts_equal_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted((k, brute(t, scores)) for k, t, *_ in rows)
 
 
-def test_each_prefix_is_scored_once():
-    calls = []
-
-    class Scores(dict):
-        def get(self, piece, default=None):
-            calls.append(piece)
-            return super().get(piece, default)
-
-    t = u.TrieCounter(Scores({u.MARK: -1.0, "ab": -1.0, "a": -2.0, "b": -2.0, "c": -2.0}))
+def test_each_prefix_is_scored_once(monkeypatch):
+    scored = []
+    step = u.TrieCounter.step
+    monkeypatch.setattr(u.TrieCounter, "step", lambda self, full, end, *a: (scored.append(full[:end]), step(self, full, end, *a)))
+    t = u.TrieCounter({u.MARK: -1.0, "ab": -1.0, "a": -2.0, "b": -2.0, "c": -2.0})
     t.learn(["abab", "ababc", "abac"])
     words = {u.MARK + w for w in ("abab", "ababc", "abac")}
-    prefixes = {w[:k] for w in words for k in range(1, len(w) + 1)}
-    assert len(calls) == sum(min(len(p), t.longest) for p in prefixes)
+    assert sorted(scored) == sorted({w[:k] for w in words for k in range(1, len(w) + 1)})
     assert t.known == {"abab": 3, "ababc": 4, "abac": 4}
 
 
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(u, "KEPT_WORDS", 2)
+    t = u.TrieCounter(u.vocabulary(PATH))
+    assert t.totals(["hello world again and", "again"]) == t.totals(["hello world again and", "again"])
+
+
 def test_empty_table(spark):
     assert u.token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
