@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,3 +48,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Rows of texts go to Python workers in batches of at most a thousand, which bounds the memory of either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) not in range(1, 1001):
+        spark.conf.set(name, "1000")
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Hand memory that arrays have left back to the system; workers live on after their tasks."""
+    libc = _libc()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

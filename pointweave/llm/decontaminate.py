@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import lean_batches
 from pointweave.llm.wordhash import mix, non_letters, slices, words
 
 #: Masks of weight 7, longest span 11.
@@ -132,6 +133,7 @@ def _finder(index: Index):
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per document and item it leaks."""
+    lean_batches(df.sparkSession)
     docs, out = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), None
     for index in _blocks(benchmark, item_key, item_text):
         part = docs.mapInArrow(_finder(index), HITS)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import lean_batches
+
 #: Element names by what they do to text.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "option", "button", "object", "noframes", "math", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -306,5 +308,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(df: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    lean_batches(df.sparkSession)
     own = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     return own.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import materialize, small
+from pointweave.llm.common import lean_batches, materialize, small
 
 CAPACITY = 4096
 END_ID = 1
@@ -233,6 +233,7 @@ def _placer(runs: list[tuple]):
 
 def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    lean_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = materialize(docs.mapInArrow(_pieces(tokenizer_path, capacity), PIECE_SCHEMA), "pieces")
     parts = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")

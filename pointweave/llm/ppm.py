@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import lean_batches
 from pointweave.llm.wordhash import slices
 
 ORDER = 3
@@ -189,6 +190,7 @@ def _predict(trees: Trees | None):
 
 def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. Learned from the rows that are not held out."""
+    lean_batches(df.sparkSession)
     trees = learn(df, text, lang, key)
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     own = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col(text).alias("text"), letter.alias("letter"))

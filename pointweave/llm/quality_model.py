@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import materialize, small
+from pointweave.llm.common import lean_batches, materialize, small
 from pointweave.llm.wordhash import slices, white_space, words
 
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
@@ -127,6 +127,7 @@ def _strength(places: DataFrame) -> float:
 
 def classify(df: DataFrame, labels: DataFrame, text: str = "text", host: str = "source", path: str = "lang", key: str = "doc_id", label: str = "quality", label_key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, evidence, host_rate, path_rate, score, kept."""
+    lean_batches(df.sparkSession)
     own = df.select(F.col(key).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     model = train(own.select("doc_id", "text"), labels.select(F.col(label_key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")))
     scored = materialize(own.mapInArrow(_evidence(model), "doc_id long, host string, path string, evidence double"), "evidence")

@@ -35,15 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import materialize, scratch_dir
+from pointweave.llm.common import lean_batches, materialize, scratch_dir, trim
 from pointweave.llm.wordhash import mix, powers, slices
 
 SPAN, K = 50, 20
 W = SPAN - K + 1
 CHUNK_BYTES = 2 << 20
+#: Bytes whose hashes are held at a time.
+SEGMENT = 1 << 18
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 50_000
 #: Text bytes whose anchors one reranking task gets.
-RANGE_BYTES, LEAST_RANGES = 16 << 20, 64
+RANGE_BYTES, LEAST_RANGES = 4 << 20, 64
 
 _U = np.uint64
 _AT = _U((1 << 28) - 1)
@@ -96,7 +98,7 @@ class Chunk:
         self.bounds = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
         self.raw = zstandard.ZstdDecompressor().decompress(data)
         self.data = np.frombuffer(self.raw, np.uint8)
-        parts = [self._anchors(lo, min(lo + CHUNK_BYTES, len(self.data))) for lo in range(0, len(self.data), CHUNK_BYTES)]
+        parts = [self._anchors(lo, min(lo + SEGMENT, len(self.data))) for lo in range(0, len(self.data), SEGMENT)]
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)] * 2
         self.lo, self.hi, self.prefix, self.span = cols  # first and last window start, ranks
         self.doc = self.ids[np.searchsorted(self.bounds, self.lo, "right") - 1] if len(self.lo) else np.zeros(0, np.int64)
@@ -155,10 +157,10 @@ class Chunk:
         counts = self.hi[own] - self.lo[own] + 1
         start = np.repeat(self.lo[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         rank = np.zeros(len(start), _U)
-        for lo in range(0, len(self.data), CHUNK_BYTES):
-            here = (start >= lo) & (start < lo + CHUNK_BYTES)
+        for lo in range(0, len(self.data), SEGMENT):
+            here = (start >= lo) & (start < lo + SEGMENT)
             if here.any():
-                total = self._sums(lo, min(lo + CHUNK_BYTES + SPAN, len(self.data)))
+                total = self._sums(lo, min(lo + SEGMENT + SPAN, len(self.data)))
                 p = start[here] - lo
                 rank[here] = mix((total[p + SPAN] - total[p]) * powers("down", len(total))[p])
         return start, rank, np.repeat(self.doc[own], counts)
@@ -194,6 +196,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+            trim()
 
 
 def _ask_anchors(ranges: int):
@@ -210,6 +213,8 @@ def _answer(pdf: pd.DataFrame, n: int, round_: int, rerank) -> pd.DataFrame:
     sizes = [len(p[0]) for p in parts]
     out = rerank(*(np.concatenate(c) for c in zip(*parts, strict=True)))
     rows = [(c, round_, r, zstandard.ZstdCompressor(1).compress(x.tobytes())) for c, r, x in zip(pdf["chunk"], pdf["range"], np.split(out, np.cumsum(sizes)[:-1]), strict=True) if x.any()]
+    del parts, out
+    trim()
     return pd.DataFrame(rows, columns=["chunk", "round", "range", "blob"])
 
 
@@ -313,6 +318,7 @@ def _with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = df.sparkSession
+    lean_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))

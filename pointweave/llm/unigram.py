@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import lean_batches
+
 MARK = "▁"
 BYTE_SCORE = -14.0
 #: Words whose counts a worker keeps at a time.
@@ -109,5 +111,6 @@ def _counter(model_path: str):
 
 def token_counts(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_tokens."""
+    lean_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return docs.mapInArrow(_counter(model_path), "doc_id long, n_tokens long")

@@ -55,7 +55,7 @@ def test_equals_brute_force(spark):
 def test_small_segments_equal_brute_force(monkeypatch):
     """Anchors of a chunk do not depend on how it is cut into segments, as far as results go."""
     rows = [r for r in corpus(3) if r[0] is not None]
-    monkeypatch.setattr(x, "CHUNK_BYTES", 97)
+    monkeypatch.setattr(x, "SEGMENT", 97)
     text = [(r[1] or "").encode() for r in rows]
     import numpy as np
     import zstandard
