@@ -1,0 +1 @@
+"""Point-cloud, raster and outline analytics on Spark DataFrames."""
