@@ -196,10 +196,12 @@ step("open_w", """
 SELECT DISTINCT c.first FROM comp_w c JOIN woods t ON t.id = c.id JOIN (
   SELECT n."row" + i AS "row", n.col + j AS col FROM base n, off1 WHERE n.v NOT IN (200, 240)) n ON n."row" = t."row" AND n.col = t.col""")
 step("full_s", 'SELECT g."row", g.col, coalesce(d.v, 0) AS v FROM whole g LEFT JOIN dsm d ON g."row" = d."row" AND g.col = d.col')
+step("beside_s", """
+SELECT a."row", a.col, a.v, greatest(0, least(a."row" + i, ht - 1)) AS r1, greatest(0, least(a.col + j, wd - 1)) AS c1, greatest(0, least(a."row" + 2 * i, ht - 1)) AS r2, greatest(0, least(a.col + 2 * j, wd - 1)) AS c2
+FROM full_s a, off1, fr""")
 step("steps_s", f"""
-SELECT DISTINCT a."row", a.col FROM full_s a, off1, fr, full_s b, full_s c
-WHERE b."row" = greatest(0, least(a."row" + i, ht - 1)) AND b.col = greatest(0, least(a.col + j, wd - 1)) AND c."row" = greatest(0, least(a."row" + 2 * i, ht - 1)) AND c.col = greatest(0, least(a.col + 2 * j, wd - 1))
-  AND b.v <> 0 AND a.v - 2 * b.v + c.v > {units(1)}""")
+SELECT DISTINCT a."row", a.col FROM beside_s a JOIN full_s b ON b."row" = a.r1 AND b.col = a.c1 JOIN full_s c ON c."row" = a.r2 AND c.col = a.c2
+WHERE b.v <> 0 AND a.v - 2 * b.v + c.v > {units(1)}""")
 step("grow_s", f"""
 SELECT "row", col FROM steps_s UNION
 SELECT a."row", a.col FROM full_s a JOIN (
@@ -239,13 +241,15 @@ step("tedge", edge("tfill", "twhole").replace("FROM fr)", "FROM tfr)"))
 step("box", "SELECT greatest(r.ea, t.ea) AS x0, least(r.ea + r.wd, t.ea + t.wd) AS x1, greatest(r.no, t.no) AS y0, least(r.no + r.ht, t.no + t.ht) AS y1 FROM fr r, tfr t")
 step("smp", "SELECT id, x0 + CAST((id * 618033 + 7919) % 1000003 AS DOUBLE) / 1000003e0 * (x1 - x0) AS x, y0 + CAST((id * 754877 + 104729) % 1000003 AS DOUBLE) / 1000003e0 * (y1 - y0) AS y FROM box, range(0, 2000) t(id)")
 step("mov", "SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(a.i - 4 AS DOUBLE) AS dx, CAST(b.j - 4 AS DOUBLE) AS dy FROM range(0, 9) a(i), range(0, 9) b(j)")
+step("probe", """
+SELECT i, j, dx, dy, id, CAST(trunc(x - t.ea + 0.5e0 * dx) AS BIGINT) AS tc, t.ht - 1 - CAST(trunc(y - t.no + 0.5e0 * dy) AS BIGINT) AS tr, t.sc AS ts, t.off AS tof, t.wd AS tw, t.ht AS th,
+  CAST(trunc(x - r.ea - 0.5e0 * dx) AS BIGINT) AS rc, r.ht - 1 - CAST(trunc(y - r.no - 0.5e0 * dy) AS BIGINT) AS rr, r.sc AS rs, r.off AS rof, r.wd AS rw, r.ht AS rh FROM smp, mov, fr r, tfr t""")
 step("diff", """
-SELECT i, j, dx, dy, id, (CAST(rc.v AS REAL) * r.sc + r.off) - (CAST(tc.v AS REAL) * t.sc + t.off) AS d FROM smp, mov, fr r, tfr t, tedge tc, redge rc
-WHERE tc.col = CAST(trunc(x - t.ea + 0.5e0 * dx) AS BIGINT) AND tc."row" = t.ht - 1 - CAST(trunc(y - t.no + 0.5e0 * dy) AS BIGINT) AND tc.col BETWEEN 0 AND t.wd - 2 AND tc."row" BETWEEN 0 AND t.ht - 2
-  AND rc.col = CAST(trunc(x - r.ea - 0.5e0 * dx) AS BIGINT) AND rc."row" = r.ht - 1 - CAST(trunc(y - r.no - 0.5e0 * dy) AS BIGINT) AND rc.col BETWEEN 0 AND r.wd - 2 AND rc."row" BETWEEN 0 AND r.ht - 2""")
+SELECT i, j, dx, dy, id, (CAST(b.v AS REAL) * rs + rof) - (CAST(a.v AS REAL) * ts + tof) AS d FROM probe JOIN tedge a ON a."row" = tr AND a.col = tc JOIN redge b ON b."row" = rr AND b.col = rc
+WHERE tc BETWEEN 0 AND tw - 2 AND tr BETWEEN 0 AND th - 2 AND rc BETWEEN 0 AND rw - 2 AND rr BETWEEN 0 AND rh - 2""")
 step("firsts", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY id) AS k FROM diff) WHERE k <= 400")
 step("meds", "SELECT i, j, dx, dy, list_sort(list(d)) AS ds FROM firsts GROUP BY 1, 2, 3, 4 HAVING count(*) >= 400")
 step("scored", """
-SELECT i, j, dx, dy, n, tz, es[CAST(floor(n * 0.67e0) AS INTEGER) + 1] AS rms, CAST(CAST(len(list_filter(es, e -> e < 1)) AS REAL) / CAST(400 AS REAL) AS REAL) AS completeness
-FROM (SELECT i, j, dx, dy, CAST(len(ds) AS INTEGER) AS n, tz, list_sort(list_transform(ds, q -> abs(q - tz))) AS es FROM (SELECT *, ds[len(ds) // 2 + 1] AS tz FROM meds))""")
+SELECT i, j, dx, dy, n, tz, es[CAST(floor(n * 0.67e0) AS INTEGER) + 1] AS rms, CAST(CAST(len(list_filter(es, lambda e: e < 1)) AS REAL) / CAST(400 AS REAL) AS REAL) AS completeness
+FROM (SELECT i, j, dx, dy, CAST(len(ds) AS INTEGER) AS n, tz, list_sort(list_transform(ds, lambda e: abs(e - tz))) AS es FROM (SELECT *, ds[len(ds) // 2 + 1] AS tz FROM meds))""")
 step("ranked", "SELECT * FROM scored ORDER BY rms, dx * dx + dy * dy, i, j LIMIT 1")

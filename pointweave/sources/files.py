@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
         for files in batches:
             for place, raw in zip(files["path"], files["content"], strict=True):
                 own = decode_las(raw)
-                own["point_id"] += (hash(place) & 0xFFFF) << 40 if len(files) > 1 else 0
+                own["point_id"] += zlib.crc32(place.encode()) << 31
                 yield own
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, POINTS)
@@ -203,7 +204,7 @@ def geotiff_bytes(raster: Raster, void: float = -10000.0) -> DataFrame:
         dense[pdf["row"], pdf["col"]] = pdf["z"]
         return pd.DataFrame({"content": [encode_geotiff(dense, f, void)]})
 
-    return z.groupBy(F.lit(0)).applyInPandas(run, "content binary")
+    return z.withColumn("whole", F.lit(True)).groupBy("whole").applyInPandas(run, "content binary")
 
 
 # Outlines and reports
