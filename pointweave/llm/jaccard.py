@@ -6,14 +6,22 @@ share a node, so copies cost nothing. Two sets link when 100 * intersection >= 7
 
 1. *Groups.* Sets that agree on a pair of min-hashes are held against the least set of their bucket (a star, so a
    bucket of any size costs as many comparisons as it has members). Verified links join sets into groups.
-2. *Token-group matrix.* Two linked sets share a token among each one's first n - ceil(0.75 n) + 1 tokens in any common
-   order. Tokens are ordered by frequency, common ones last. A token whose holders are all in one group is dropped: what
-   is left lists, by token, the groups that hold it. A set queries every other such group of a fitting size.
+2. *Token-group matrix.* Linked sets of sizes x <= y differ in at most (x + y) / 7 tokens. The tokens are dealt to more
+   parts than that by hash (as many as the larger size class asks for), so of the larger set's parts that are not empty
+   a known number stays the same in both. Hashes of parts are shuffled in sorted blocks; a part whose holders are all in
+   one group is dropped there, and what is left lists, by part, the groups that hold it: sets query the other groups of a
+   fitting size. Lists of more than ``LONG_LIST`` groups (passages that many documents share) are left out at first, and
+   each set's parts in them are counted: a set with fewer of them than parts that stay the same has a short list in
+   common with every partner. The few sets of which that is not so ask the long lists in a second round.
+   Parity bitmaps refuse most queries: where two bitmaps differ, so do the sets. Small groups are tried by member; of
+   larger ones only the star centers are, at half the similarity: each member links to a center, and the Jaccard distance
+   obeys the triangle inequality.
 3. *Open.* A group's member sets are united; a query whose overlap with the union is under 0.75 n is refused without
    looking further, else the members are compared one by one until one links (the group is connected already).
 
-Steps 2 and 3 miss nothing that step 1 left over, so the result is exact (up to 64-bit token and 128-bit set hashes).
-Null text has no words. Rows that share a doc_id are separate documents. Other columns do not matter. An empty table
+Steps 2 and 3 miss nothing that step 1 left over, so the result is exact (up to 64-bit token and 128-bit set hashes, and
+a chance below 1e-9 for a set whose tokens crowd into so few parts that the argument of step 2 fails).
+Null text has no words; a row without doc_id is linked with nothing. Rows that share a doc_id are separate documents. Other columns do not matter. An empty table
 gives an empty result.
 """
 
@@ -24,21 +32,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from pointweave.llm.common import materialize, small
+from pointweave.llm.common import lean_batches, materialize, small, trim
 from pointweave.llm.graph import components
+from pointweave.llm.suffix import pack, unpack
 from pointweave.llm.wordhash import mix, slices, white_space, words
 
 N = 5
 PERCENT = 75
 HASHES, BANDS = 12, 6
-#: Tokens counted at a time by the sketch of common tokens; most tokens that can count as common (their bound is proven:
-#: a common token makes up 1 / MOST_COMMON of all tokens at least).
-COUNTED, MOST_COMMON, LEAST_COMMON = 4 << 20, 1 << 19, 16
+#: Parts that one block holds, and that one task of the matrix gets.
+BLOCK_PARTS, RANGE_PARTS, LEAST_RANGES = 1 << 18, 1 << 19, 64
+#: Sets of up to this size have one part for each token; larger ones half as many parts as tokens, and ten.
+SMALL_SET = 64
+#: Bits of the smallest bitmaps, and the largest group that is tried by member.
+LEAST_BITS, BITMAP_GROUP = 512, 16
+#: Bits kept of a part's hash; parts that meet by chance only cost a comparison.
+PART_BITS = 40
+#: Groups that a part's list may hold in the first round, and parts that the second round filters by.
+LONG_LIST, ASKED_PARTS = 24, 2 << 20
 #: Sets opened by one task.
 GROUP_SETS = 256
+#: Routed texts that one call of a kernel gets, on average.
+BUCKET_ROWS = 250
 
 _U = np.uint64
 
@@ -87,95 +106,241 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-_SKETCH = "doc_id long, n long, node binary, bands array<long>, token long, seen long"
-_SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("seen", pa.int64())])
+def size_classes(n: int) -> list[int]:
+    """Upper ends of the set's own size class and of the next one; partners are in one of these or one below."""
+    top = SMALL_SET
+    while top < n:
+        top = top * 100 // PERCENT
+    return [top, top * 100 // PERCENT]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and rows of tokens seen more than once among COUNTED tokens (less one, as in Misra-Gries)."""
-    salts = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    held: list[np.ndarray] = []
+def parts(tokens: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Hashes of the set's parts in its own size class and then in the next; how many are its own, and how many of these at
+    least are the same in any partner that is not larger (0 or less: nothing is known)."""
+    keys, n = [], len(tokens)
+    for top in size_classes(n):
+        if top <= SMALL_SET:
+            key = mix(tokens + _U(top))
+        else:
+            spread = mix(tokens ^ _U(top * 0x9E3779B1))
+            part = ((spread >> _U(32)) * _U(top // 2 + 10)) >> _U(32)
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+            key = mix(np.add.reduceat(mix(tokens[order] + _U(0x632BE59BD9B4E019)), at) + mix(part[order][at] * _U(1 << 20) + _U(top)))
+        keys.append(key)
+    return np.concatenate(keys) >> _U(64 - PART_BITS), len(keys[0]), len(keys[0]) - 2 * n // 7
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens at each of four to eight times as many places as tokens, a power of two."""
+    bits = max(LEAST_BITS, 1 << (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens ^ _U(0x8CB92BA72F3D8DD7)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int, share: int = 7) -> bool:
+    """Whether the sets may differ in no more than 1 / share of their sizes' sum (7: similarity 0.75, 3: 0.5). The larger
+    bitmap is folded to the size of the smaller, which keeps parities."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0) for m in (a, b))
+    return share * int.from_bytes((x ^ y).tobytes()).bit_count() <= na + nb
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary()), ("same", pa.int64())])
 
-    def common() -> pa.RecordBatch:
-        token, seen = np.unique(np.concatenate(held or [np.zeros(0, _U)]), return_counts=True)
-        held.clear()
-        token, seen = token[seen > 1], seen[seen > 1] - 1
-        none = [pa.nulls(len(token), t) for t in _SKETCH_ARROW.types[:4]]
-        return pa.RecordBatch.from_arrays([*none, pa.array(token.view(np.int64)), pa.array(seen.astype(np.int64))], schema=_SKETCH_ARROW)
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: set size, the set's name, its min-hash pairs and its bitmap."""
+    salts = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
     for batch in batches:
-        n, nodes, bands = [], [], []
-        for tokens in sets(batch.column(1)):
-            n.append(len(tokens))
-            nodes.append(_node(tokens) if len(tokens) else None)
-            if len(tokens):
-                held.append(tokens)
-                low = np.array([mix(tokens ^ s).min() for s in salts], _U)
-                keys = mix(low[0::2] * _U(0xD6E8FEB86659FD93) + low[1::2] + np.arange(BANDS, dtype=_U))
-                bands.append(keys.view(np.int64))
-            else:
-                bands.append(None)
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), none, none], schema=_SKETCH_ARROW)
-        if sum(map(len, held)) > COUNTED:
-            yield common()
-    yield common()
+        rows: list[tuple] = []
+        trim()
+        for key, tokens in zip(batch.column(0).to_pylist(), sets(batch.column(1)), strict=True):
+            if key is None or not len(tokens):
+                rows.append((key, len(tokens), None, None, None, None))
+                continue
+            spread = mix(tokens)
+            low = np.array([(spread * s).min() for s in salts], _U)
+            keys = mix(low[0::2] * _U(0xD6E8FEB86659FD93) + low[1::2] + np.arange(BANDS, dtype=_U))
+            rows.append((key, len(tokens), _node(tokens), keys.view(np.int64), bitmap(tokens), parts(tokens)[2]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)] if rows else [pa.array([], t) for t in _SKETCH.types], schema=_SKETCH)
+
+
+def _short_name(node: bytes) -> int:
+    """First 64 bits of a set's name: two sets of one short name only cost comparisons."""
+    return int.from_bytes(node[:8], "big")
 
 
-def _prefixes(common: np.ndarray, seen: np.ndarray):
-    """A row per document: its node, set size and prefix tokens, rare tokens first."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of each text in both size classes."""
+    for batch in batches:
+        for tokens in sets(batch.column(0)):
+            if len(tokens):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(parts(tokens)[0]).view(np.int64))], ["part"])
+
+
+def _blocks(ranges: int, only: np.ndarray | None = None):
+    """Sorted blocks of parts by range, with the sets that hold them. Marks: 1 a part of the set's own size class, 2 the
+    set asks long lists. only: (sorted) parts that others may hold as well."""
+
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[0]: r for r in rows}.values())  # documents of one set count once
+        part, mark = (np.frombuffer(b"".join(r[k] for r in rows), _U) for k in (3, 4))
+        owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+        names = np.array([_short_name(r[0]) for r in rows], _U)
+        roots = np.array([_short_name(r[1]) for r in rows], _U)
+        held = (names, np.where(roots == names, _U(0), roots), np.array([r[2] for r in rows], _U))
+        order = np.argsort(part, kind="stable")
+        part, mark, owner = part[order], mark[order], owner[order]
+        cut = np.concatenate([[0], np.searchsorted(part, np.array([(i << PART_BITS) // ranges for i in range(1, ranges)], _U)), [len(part)]])
+        out = []
+        for r in range(ranges):
+            a, b = cut[r], cut[r + 1]
+            if b > a:
+                own, local = np.unique(owner[a:b], return_inverse=True)
+                out.append((r, pack(*(c[own] for c in held)), pack(part[a:b], local.astype(_U) * _U(4) + mark[a:b])))
+        del part, mark, owner, order
+        trim()
+        types = (pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["range", "held", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for tokens in sets(batch.column(0)):
-                n = len(tokens)
-                if not n:
+            for tokens, own in zip(sets(batch.column(0)), batch.column(1), strict=True):
+                if not len(tokens):
                     continue
-                size = n - -(-PERCENT * n // 100) + 1
                 node = _node(tokens)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    rank = np.where(common[at] == tokens, seen[at], 0)
-                    tokens = tokens[np.argsort(rank, kind="stable")[:size]]
-                for c, x in zip(out, (node, n, tokens[:size].view(np.int64)), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["node", "n", "tokens"])
+                known = {r["node"]: r for r in own.as_py() or ()}.get(node, {"root": node, "asks": False})
+                part, n_own, _ = parts(tokens)
+                mark = (np.arange(len(part)) < n_own).astype(_U) + _U(2 * known["asks"])
+                if only is not None:
+                    at = np.minimum(np.searchsorted(only, part), len(only) - 1)
+                    part, mark = part[only[at] == part], mark[only[at] == part]
+                rows.append((node, known["root"], len(tokens), part.tobytes(), mark.tobytes()))
+                held += len(part)
+                if held >= BLOCK_PARTS:
+                    yield block(rows)
+                    rows, held = [], 0
+        if rows:
+            yield block(rows)
+
+    return run
+
+
+_PAIRS = "node long, group long, long int"
+
+
+def _matrix(second: bool):
+    """First round: sets and other groups of a fitting size that hold a part in common, by short lists; and per set how
+    many of its own parts are in long lists. Second round: what asking sets find in long lists. Names are short ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, owner, mark, held, base = [], [], [], [], 0
+        for own, blob in zip(pdf["held"], pdf["blob"], strict=True):
+            p, o = unpack(blob, 2)
+            part.append(p)
+            owner.append((o >> _U(2)).astype(np.int64) + base)
+            mark.append((o & _U(3)).astype(np.int64))
+            held.append(unpack(own, 3))
+            base += len(held[-1][0])
+        part, owner, mark = np.concatenate(part), np.concatenate(owner), np.concatenate(mark)
+        nodes, roots, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        roots = np.where(roots == 0, nodes, roots)
+        # a set may come from several blocks
+        nodes, at, again = np.unique(nodes, return_index=True, return_inverse=True)
+        owner, n = again[owner], n[at].astype(np.int64)
+        names, group = np.unique(roots[at], return_inverse=True)
+        order = np.lexsort((owner, group[owner], part))
+        part, owner, mark = part[order], owner[order], mark[order]
+        keep = np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
+        part, owner, mark = part[keep], owner[keep], mark[keep]
+        g = group[owner]
+        new = np.concatenate([[True], part[1:] != part[:-1]])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(part))
+        n_groups = np.add.reduceat((new | np.concatenate([[True], g[1:] != g[:-1]])).astype(np.int64), begin)
+        long = n_groups > LONG_LIST
+        found: set[int] = set()
+        width = len(names)
+        for a, b in zip(begin[long if second else ~long & (n_groups > 1)], end[long if second else ~long & (n_groups > 1)], strict=True):
+            own, og, asks = owner[a:b], g[a:b], mark[a:b] >= 2
+            at = np.flatnonzero(np.concatenate([[True], og[1:] != og[:-1]]))
+            to = np.append(at[1:], len(og))
+            lo, hi = np.minimum.reduceat(n[own], at), np.maximum.reduceat(n[own], at)
+            if second:
+                for q in own[asks]:
+                    fits = (og[at] != group[q]) & (100 * n[q] >= PERCENT * lo) & (PERCENT * n[q] <= 100 * hi)
+                    found.update((q * width + og[at][fits]).tolist())
+                continue
+            rank = np.lexsort((og[at], at - to))  # large groups first; smaller ones query them
+            for place, k in enumerate(rank[:-1]):
+                for j in rank[place + 1 :]:
+                    q = own[at[j] : to[j]]
+                    q = q[(100 * n[q] >= PERCENT * lo[k]) & (PERCENT * n[q] <= 100 * hi[k])]
+                    found.update((q * width + og[at[k]]).tolist())
+        keys = np.fromiter(found, np.int64, len(found))
+        out = pd.DataFrame({"node": nodes[keys // width].view(np.int64), "group": names[keys % width].view(np.int64), "long": 0})
+        if not second:  # a count comes with the set itself as the group
+            counts = np.bincount(owner[np.repeat(long, end - begin) & (mark & 1 == 1)], minlength=len(nodes))
+            some = np.flatnonzero(counts)
+            out = pd.concat([out, pd.DataFrame({"node": nodes[some].view(np.int64), "group": nodes[some].view(np.int64), "long": counts[some]})])
+        del part, owner, mark, order, keep, g
+        trim()
+        return out
 
     return run
 
 
+@F.pandas_udf(BooleanType())
+def _may_link(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series, share: pd.Series) -> pd.Series:
+    return pd.Series([may_link(x, i, y, j, k) for x, i, y, j, k in zip(a, na, b, nb, share, strict=True)])
+
+
 _EDGES = "a binary, b binary"
 
 
-def _distinct_sets(pdf: pd.DataFrame) -> dict[bytes, np.ndarray]:
-    out = {}
-    for node, tokens in zip(pdf["node"], sets(pa.array(pdf["text"], pa.large_string())), strict=True):
-        if _node(tokens) == bytes(node):  # rows that share a doc_id may have other texts
-            out[bytes(node)] = tokens
-    return out
+def _by_task(kernel):
+    """Run a kernel(queries, members) for each task of a bucket of tasks; each set is made once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        once = pdf.drop_duplicates("node")
+        made = {}
+        for node, tokens in zip(once["node"], sets(pa.array(once["text"], pa.large_string())), strict=True):
+            made[bytes(node)] = tokens if _node(tokens) == bytes(node) else None
+        rest = pdf[[made[bytes(x)] is None for x in pdf["node"]]]  # rows that share a doc_id may have other texts
+        for node, tokens in zip(rest["node"], sets(pa.array(rest["text"], pa.large_string())), strict=True):
+            if made[bytes(node)] is None and _node(tokens) == bytes(node):
+                made[bytes(node)] = tokens
+        tasks: dict[int, tuple[dict, dict]] = {}
+        for node, task, role in zip(pdf["node"], pdf["task"], pdf["role"], strict=True):
+            if made[bytes(node)] is not None:
+                tasks.setdefault(task, ({}, {}))[role][bytes(node)] = made[bytes(node)]
+        found = [edge for queries, members in tasks.values() for edge in kernel(queries, members)]
+        del made, tasks
+        trim()
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
 
 
-def _against_union(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Queries (role 0) against a group's members (role 1)."""
-    queries, members = _distinct_sets(pdf[pdf["role"] == 0]), _distinct_sets(pdf[pdf["role"] == 1])
-    found = []
-    if members:
-        union = np.unique(np.concatenate(list(members.values())))
-        for q, tokens in queries.items():
-            at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-            if 100 * int((union[at] == tokens).sum()) < PERCENT * len(tokens):
-                continue
+def _against_union(queries: dict, members: dict) -> Iterator[tuple[bytes, bytes]]:
+    """Queries against a group: its token union first, its members one by one only if that does not refuse."""
+    if not members:
+        return
+    union = np.unique(np.concatenate(list(members.values())))
+    for q, tokens in queries.items():
+        at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+        if 100 * int((union[at] == tokens).sum()) >= PERCENT * len(tokens):
             link = next((m for m, own in members.items() if m != q and linked(tokens, own)), None)
             if link is not None:
-                found.append((q, link))
-    return pd.DataFrame(found, columns=["a", "b"])
+                yield q, link
 
 
-def _against_star(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Every member (role 0) against the bucket's least set (role 1)."""
-    members, center = _distinct_sets(pdf[pdf["role"] == 0]), _distinct_sets(pdf[pdf["role"] == 1])
-    return pd.DataFrame([(m, c) for c, t in center.items() for m, own in members.items() if m != c and linked(own, t)], columns=["a", "b"])
+def _against_star(members: dict, center: dict) -> Iterator[tuple[bytes, bytes]]:
+    """Every member against the bucket's least set."""
+    for c, t in center.items():
+        yield from ((m, c) for m, own in members.items() if m != c and linked(own, t))
 
 
 def _route(docs: DataFrame, nodes: DataFrame, routes: DataFrame, kernel) -> DataFrame:
@@ -185,7 +350,8 @@ def _route(docs: DataFrame, nodes: DataFrame, routes: DataFrame, kernel) -> Data
     stats = routes.agg(F.count(F.lit(1)), F.sum(F.size("to"))).first()
     own = docs.join(small(routes, 1, rows=64 * (stats[0] or 0) + 24 * (stats[1] or 0)), "doc_id")
     own = own.select("node", "text", F.explode("to").alias("to")).select("node", "text", "to.task", "to.role")
-    return own.groupBy("task").applyInPandas(kernel, _EDGES)
+    buckets = max(32, (stats[1] or 0) // BUCKET_ROWS)
+    return own.groupBy(F.pmod("task", F.lit(buckets))).applyInPandas(_by_task(kernel), _EDGES)
 
 
 def _salted(key, node, count):
@@ -195,17 +361,13 @@ def _salted(key, node, count):
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. Returns (doc_id, n, node) per row, and verified edges (a, b) that connect what links connect."""
-    rows = materialize(docs.mapInArrow(_sketch, _SKETCH), "sketches")
-    per_doc = rows.where("token is null").select("doc_id", "n", "node", "bands")
+    lean_batches(docs.sparkSession)
+    schema = "doc_id long, n long, node binary, bands array<long>, bits binary, same long"
+    rows = materialize(docs.mapInArrow(_sketch, schema), "sketches")
+    per_doc = rows.select("doc_id", "n", "node")
     total = per_doc.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COMMON, total // MOST_COMMON)
-    known = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).collect()  # at most MOST_COMMON rows
-    common = np.array([r.token for r in known], np.int64).view(_U)
-    order = np.argsort(common)
-    seen = np.array([r.seen for r in known], np.int64)[order]
-    common = common[order]
-
-    nodes = materialize(per_doc.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("same").alias("same"))
+    nodes = materialize(least, "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("count")).where("count > 1")
@@ -216,18 +378,44 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(_route(docs, nodes, routes, _against_star), "links")
 
     groups = materialize(components(near), "groups")
-    prefixes = docs.select("text").mapInArrow(_prefixes(common, seen), "node binary, n long, tokens array<long>")
-    prefixes = prefixes.join(small(groups, 80), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "tokens")
-    prefixes = materialize(prefixes, "prefixes")
-    held = prefixes.select(F.xxhash64("root").alias("r"), F.explode("tokens").alias("token"))
-    shared = held.groupBy("token").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo != hi").select("token")
-    shared = materialize(shared, "shared-tokens")
-    entries = prefixes.select("node", "n", "root", F.explode("tokens").alias("token")).join(small(shared, 16), "token")
-    entries = materialize(entries.distinct(), "entries")
-    sizes = entries.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pair = entries.join(sizes.withColumnRenamed("root", "group"), "token").where("root < group")
-    pair = pair.where((100 * F.col("n") >= PERCENT * F.col("lo")) & (100 * F.col("hi") >= PERCENT * F.col("n")))
-    pair = materialize(pair.select("node", "group").distinct(), "pairs")
+    def blocks(asking: DataFrame | None = None, only: np.ndarray | None = None) -> DataFrame:
+        """The matrix's blocks; asking: node of the sets that ask long lists."""
+        roots = groups.withColumn("asks", F.lit(False))
+        if asking is not None:
+            roots = groups.join(asking, "node", "full").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"))
+        known = per_doc.join(small(roots, 80), "node").groupBy("doc_id").agg(F.collect_set(F.struct("node", "root", "asks")).alias("known"))
+        known = small(materialize(known, "grouped-documents"), 100)
+        held = docs.where("doc_id is not null").join(known, "doc_id", "left").select("text", "known")
+        made = held.mapInArrow(_blocks(max(LEAST_RANGES, total // RANGE_PARTS), only), "range int, held binary, blob binary")
+        return made.groupBy("range").applyInPandas(_matrix(asking is not None), _PAIRS)
+
+    first = materialize(blocks(), "queries")
+    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+    named = nodes.select(short.alias("s"), "node")
+    crowded = first.where("long > 0").groupBy(F.col("node").alias("s")).agg(F.sum("long").alias("long")).join(nodes.select(short.alias("s"), "node", "same"), "s")
+    asking = materialize(crowded.where("long >= same").select("node", F.lit(True).alias("asks")), "asking")
+    pair = first.where("long = 0").select("node", "group")
+    if not asking.isEmpty():
+        texts = docs.join(small(asking.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct(), 16), "doc_id", "left_semi")
+        keys = texts.select("text").mapInArrow(_keys, "part long").distinct()
+        keys = materialize(keys, "asked-parts")
+        few = keys.count() <= ASKED_PARTS
+        only = np.sort(keys.toArrow().column("part").to_numpy().astype(np.int64)).view(_U) if few else None
+        pair = pair.unionAll(blocks(asking, only).where("long = 0").select("node", "group"))
+    pair = materialize(pair.distinct(), "short-queries")
+    pair = pair.withColumnRenamed("node", "s").join(named, "s").select("node", F.col("group").alias("s"))
+    pair = materialize(pair.join(named.withColumnRenamed("node", "group"), "s").select("node", "group"), "queries")
+    # bitmaps refuse most queries
+    size = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    sized = groups.join(size, "root")
+    centers = near.select(F.col("b").alias("node")).distinct()
+    tried = sized.where(F.col("size") <= BITMAP_GROUP).select("root", "node", F.lit(7).alias("share"))
+    tried = tried.unionAll(sized.where(F.col("size") > BITMAP_GROUP).join(centers, "node", "left_semi").select("root", "node", F.lit(3).alias("share")))
+    tried = materialize(tried.select(F.col("root").alias("group"), F.col("node").alias("member"), "share"), "tried")
+    sides = nodes.select("node", "n", "bits")
+    against = pair.join(tried, "group", "left").select("node", "group", F.coalesce("member", "group").alias("member"), F.coalesce("share", F.lit(7)).alias("share"))
+    against = against.join(sides, "node").join(sides.select(F.col("node").alias("member"), F.col("n").alias("m"), F.col("bits").alias("other")), "member")
+    pair = materialize(against.where(_may_link("bits", "n", "other", "m", "share")).select("node", "group").distinct(), "pairs")
     wanted = pair.select(F.col("group").alias("root")).distinct()
     in_groups = groups.join(wanted, "root", "left_semi").select("node", "root")
     alone = wanted.join(groups.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), "root")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from pointweave.llm import jaccard as j
 
 SCHEMA = "doc_id long, text string, node string, n int, _gone long"
@@ -61,13 +63,41 @@ def test_components_equal_brute_force(spark):
 
 def test_matrix_alone_finds_every_link(spark, monkeypatch):
     """Without the min-hash groups the token-group matrix still has to find all."""
-    monkeypatch.setattr(j, "_against_star", lambda pdf: pdf.iloc[:0].assign(a=[], b=[])[["a", "b"]])
-    monkeypatch.setattr(j, "LEAST_COMMON", 4)
+    monkeypatch.setattr(j, "_against_star", lambda members, center: ())
     rows = corpus(12)
     got = j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_linked_sets_share_a_part_and_pass_the_bitmap():
+    rng = np.random.default_rng(3)
+    for n in (*range(1, 90), 150, 400, 1000, 4000):
+        for _ in range(6):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone = int(rng.integers(0, max(len(x) // 7, 0) + 1))
+            y = np.union1d(x[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, len(x) // 7 + 1)), dtype=np.uint64))
+            if len(y) and j.linked(x, y) and len(np.setxor1d(x, y)):
+                big, little = (x, y) if len(x) >= len(y) else (y, x)
+                own, n_own, same = j.parts(big)
+                assert same > 0 and len(np.intersect1d(own[:n_own], j.parts(little)[0])) >= same
+                assert j.may_link(j.bitmap(x), len(x), j.bitmap(y), len(y))
+
+
+def test_long_lists_are_asked(spark, monkeypatch):
+    """With lists cut at two groups nearly all comes from the second round."""
+    monkeypatch.setattr(j, "_against_star", lambda members, center: ())
+    rows = corpus(14)
+    for few in (2, 8):
+        monkeypatch.setattr(j, "LONG_LIST", few)
+        assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
+def test_large_groups_are_tried_by_center(spark, monkeypatch):
+    monkeypatch.setattr(j, "BITMAP_GROUP", 1)
+    rows = corpus(15)
+    assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
 def test_one_of_each_stays(spark):
     rows = corpus(13)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -79,5 +109,12 @@ def test_one_of_each_stays(spark):
 def test_empty_and_repeated(spark):
     assert j.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert j.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
-    rows = [(1, "a b c d e f", "", 1, 1)] * 2 + [(2, "a b c d e f", "", 1, 1), (3, None, "", 1, 1), (3, None, "", 1, 1)]
-    assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
+    rows = [(None, "a b c d e f", "", 1, 1), (1, "a b c d e f", "", 1, 1)] + [(1, "a b c d e f", "", 1, 1)] + [(2, "a b c d e f", "", 1, 1), (3, None, "", 1, 1), (3, None, "", 1, 1)]
+    assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3), (None, 2, None)]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(5, long, "", 1, 1), (5, other, "", 1, 1), (7, long + " x", "", 1, 1), (6, other + " y", "", 1, 1)]
+    assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == [(5, 96, 5), (5, 96, 5), (6, 97, 5), (7, 97, 5)]
