@@ -4,17 +4,20 @@ A word is a run of letters and digits, A-Z folded. Fixed masks over word positio
 words under its ones and ignores the rest, so a substituted word breaks only the seeds that look at it. Hashes of the
 training text are looked up among those of the benchmark; every hit fixes an alignment (document position minus item
 position), and the whole item is compared along it. A document leaks an item when, over its hit alignments, at least
-half of the item's words stand at their places (and no fewer than the seeds' weight), or 20 of them do.
+half of the item's words stand at their places (and no fewer than ``WEIGHT``), or 20 of them do.
 
-Items of 4 to 6 words are held by whole-item seeds; shorter ones name no passage and match nothing. Null text has no
-words. Repeated items each report; repeated documents each report. The benchmark is taken in blocks of at most
-``BLOCK_BYTES`` of text, each a separate pass over the documents, so what is broadcast is bounded. Empty tables give an
-empty result. Other columns do not matter.
+The masks are complete for that half: however the replaced words lie, an alignment that has so many words in place holds
+some mask, so no such alignment is missed. For the 20 words that suffice in an item of over 40, this holds only from half
+of the item on; below that an alignment has to hold four words within eight to be looked at.
+
+Items of 4 to 6 words, which the least of ``WEIGHT`` words asks for whole, are held by whole-item comparison; shorter
+ones name no passage and match nothing. Null text has no words. Repeated items each report; repeated documents each
+report. The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each a separate pass over the documents, so
+what is broadcast is bounded. Empty tables give an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +29,42 @@ from pyspark.sql import functions as F
 from pointweave.llm.common import lean_batches
 from pointweave.llm.wordhash import mix, non_letters, slices, words
 
-#: Masks of weight 7, longest span 11.
-MASKS = ("1111111", "110110111", "1101010111", "11101001101")
+#: Masks of weight 4 and span 8 at most, the fewest found that every alignment with half of the words holds.
+MASKS = (
+    "1111", "11101", "111001", "1110001", "11100001", "11011", "110101", "1101001", "110011", "1100101", "1100011", "10111", "101101", "1011001", "101011", "1010101",
+    "1010011", "10100011", "100111", "1001101", "1001011", "10010011", "1000111", "10001011",
+)
 WEIGHT = 7
 SHORT = (4, 5, 6)
 SHARE, ENOUGH = 0.5, 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Words compared at a time.
+COMPARED = 1 << 20
 
 HITS = "doc_id long, item_id long, n_matched int, n_item_words int, first_word int"
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def _joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a run of seeds' words and one word more."""
+    h = (h + w) * _STEP
+    return h ^ (h >> np.uint64(32))
+
+
+def _offsets(mask: str) -> tuple[int, ...]:
+    return tuple(k for k, bit in enumerate(mask) if bit == "1")[1:]
 
 
-def seeds(w: np.ndarray, mask: str) -> np.ndarray:
-    """The mask's hash at every position of a run of word hashes."""
-    n = len(w) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, len(mask), np.uint64)
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            total = (total + w[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
-            total ^= total >> np.uint64(32)
-    return mix(total)
+#: Starts of masks by length, and the masks: what begins alike is hashed once.
+_TREE = sorted({_offsets(m)[:k] for m in MASKS for k in range(4)})
+
+
+def _sieve(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Bitmap over the top bits of hashes, at least 32 places a hash."""
+    bits = max(16, int(len(hashes) * 32 - 1).bit_length())
+    seen, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+    seen[(hashes >> shift).astype(np.int64)] = True
+    return seen, shift
 
 
 class Index:
@@ -54,55 +72,112 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
-        gap = non_letters()
-        for lo, data, bounds in slices(pa.array([t for _, t in items], pa.large_string())):
+        parts, sizes, gap = [], [], non_letters()
+        for _, data, bounds in slices(pa.array([t for _, t in items], pa.large_string())):
             h, at = words(data, bounds, gap)
-            for k in range(len(at) - 1):
-                self.words[lo + k] = h[at[k] : at[k + 1]]
-        self.tables = []
-        for mask in [*MASKS, *("1" * n for n in SHORT)]:
-            rows = []
-            for i, w in enumerate(self.words):
-                if (len(w) == len(mask)) if len(mask) in SHORT else len(w) >= WEIGHT:
-                    rows += [(h, i, j) for j, h in enumerate(seeds(w, mask))]
-            if rows:
-                h = np.array([r[0] for r in rows], np.uint64)
+            parts.append(h)
+            sizes.append(np.diff(at))
+        self.words = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        self.sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        item = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        place = np.arange(len(self.words)) - self.starts[item]
+        size = self.sizes[item]
+        used = (size >= WEIGHT) | (np.isin(size, SHORT) & (place == 0))
+        self.tables: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+        hashes = {(): (np.flatnonzero(used), mix(self.words[used]))}
+        for at in _TREE:
+            if at:
+                start, h = hashes[at[:-1]]
+                inside = place[start] + at[-1] < size[start]
+                start, h = start[inside], h[inside]
+                hashes[at] = start, _joined(h, self.words[start + at[-1]])
+            start, h = hashes[at]
+            if len(at) == 3:
                 order = np.argsort(h, kind="stable")
-                places = np.array([r[1:] for r in rows], np.int32)[order]
-                self.tables.append((mask, h[order], places))
+                self.tables[at] = h[order], start[order].astype(np.int32)
+            else:
+                self.tables[at] = np.unique(h), start[:0]
+        self.item, self.place = item.astype(np.int32), place.astype(np.int32)
+        self.sieves: dict[tuple[int, ...], tuple[np.ndarray, np.uint64]] = {}  # made where they are used
+
+    def _hits(self, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, document position minus item position) of alignments that hold some mask, in order."""
+        found: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+        row_end, rows, own, shifts = at[1:], [], [], []
+        for key in _TREE:
+            if key:
+                p, h = found[key[:-1]]
+                inside = p + key[-1] < len(w)
+                p, h = p[inside], h[inside]
+                h = _joined(h, w[p + key[-1]])
+            else:
+                p, h = np.arange(len(w)), mix(w)
+            hashes, starts = self.tables[key]
+            if key not in self.sieves:
+                self.sieves[key] = _sieve(hashes)
+            seen, shift = self.sieves[key]
+            some = seen[(h >> shift).astype(np.int64)]
+            p, h = p[some], h[some]
+            if len(key) < 3:
+                found[key] = p, h
+                continue
+            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            r = np.searchsorted(at, p, "right") - 1
+            real = (hi > lo) & (p + key[-1] < row_end[r])
+            p, lo, n, r = p[real], lo[real], (hi - lo)[real], r[real]
+            start = starts[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            rows.append(np.repeat(r, n))
+            own.append(self.item[start].astype(np.int64))
+            shifts.append(np.repeat(p - at[r], n) - self.place[start])
+        row, item, shift = (np.concatenate(x).astype(np.int64) for x in (rows, own, shifts))
+        order = np.lexsort((shift, item, row))
+        row, item, shift = row[order], item[order], shift[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0)
+        return row[new], item[new], shift[new]
 
     def leaks(self, w: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, matched words, item words, first word) of rows whose words are w[at[k]:at[k+1]]."""
-        found: dict[int, set] = defaultdict(set)
-        for mask, hashes, places in self.tables:
-            h = seeds(w, mask)
-            if not len(h):
-                continue
-            sieve = np.zeros(1 << 22, bool)
-            sieve[(hashes >> np.uint64(42)).astype(np.int64)] = True
-            some = np.flatnonzero(sieve[(h >> np.uint64(42)).astype(np.int64)])
-            lo = np.searchsorted(hashes, h[some])
-            hi = np.searchsorted(hashes, h[some], "right")
-            row = np.searchsorted(at, some, "right") - 1
-            for p, a, b, r in zip(some[hi > lo], lo[hi > lo], hi[hi > lo], row[hi > lo], strict=True):
-                if p + len(mask) <= at[r + 1]:
-                    found[int(r)].update((int(i), int(p - at[r] - j)) for i, j in places[a:b])
-        for r, hits in sorted(found.items()):
-            own, by_item = w[at[r] : at[r + 1]], defaultdict(list)
-            for i, d in hits:
-                by_item[i].append(d)
-            for i, shifts in sorted(by_item.items()):
-                item = self.words[i]
-                same, first = np.zeros(len(item), bool), len(own)
-                for d in shifts:
-                    lo, hi = max(0, -d), min(len(item), len(own) - d)
-                    hit = np.flatnonzero(own[lo + d : hi + d] == item[lo:hi]) + lo
-                    same[hit] = True
-                    first = min(first, int(hit[0]) + d) if len(hit) else first
-                n = int(same.sum())
-                if n >= ENOUGH or n >= max(SHARE * len(item), min(WEIGHT, len(item))):
-                    yield r, i, n, len(item), first
+        if not len(self.words) or not len(w):
+            return
+        at = np.asarray(at, np.int64)
+        row, item, shift = self._hits(w, at)
+        if not len(row):
+            return
+        pair = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)])
+        ends = np.r_[pair[1:], len(row)]
+        upto = np.cumsum(self.sizes[item])
+        lo = 0
+        while lo < len(pair):
+            before = upto[pair[lo] - 1] if pair[lo] else 0
+            hi = max(lo + 1, int(np.searchsorted(upto[ends - 1], before + COMPARED, "right")))
+            part = slice(pair[lo], ends[hi - 1])
+            yield from self._compared(w, at, row[part], item[part], shift[part])
+            lo = hi
+
+    def _compared(self, w: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        size = self.sizes[item]
+        line = np.repeat(np.arange(len(row)), size)
+        j = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        p = shift[line] + j + at[row[line]]
+        inside = (p >= at[row[line]]) & (p < at[row[line] + 1])
+        line, j, p = line[inside], j[inside], p[inside]
+        same = w[p] == self.words[self.starts[item[line]] + j]
+        line, j, p = line[same], j[same], p[same]
+        whole = (size >= WEIGHT) | (np.bincount(line, minlength=len(row)) == size)  # short items count whole only
+        line, j, p = line[whole[line]], j[whole[line]], p[whole[line]]
+        first_line = np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)]
+        pair, of = np.cumsum(first_line) - 1, np.flatnonzero(first_line)
+        row, item, size = row[of], item[of], size[of]
+        base = np.cumsum(size) - size
+        hit = np.zeros(int(size.sum()), bool)
+        hit[base[pair[line]] + j] = True
+        n = np.add.reduceat(hit, base, dtype=np.int64)
+        first = np.full(len(row), np.iinfo(np.int64).max)
+        np.minimum.at(first, pair[line], p - at[row[pair[line]]])
+        for k in np.flatnonzero((n >= ENOUGH) | (n >= np.maximum(SHARE * size, np.minimum(WEIGHT, size)))):
+            yield int(row[k]), int(item[k]), int(n[k]), int(size[k]), int(first[k])
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Index]:
