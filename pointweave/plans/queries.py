@@ -24,7 +24,9 @@ P = SceneParams()
 #: The class queries have no labels: what is over 9 m counts as building there.
 LOW = replace(P, max_tree_height=9.0)
 WINDOW = (10.0, 50.0, 8.0, 40.0)
+#: The job of the registration queries that SQL holds; the align_full_ queries and align_peak run the aligner's defaults.
 ALIGN = AlignParams(maxt=4.0, samples=400, draws=2000)
+FULL_ALIGN = AlignParams()
 
 
 def query(sql: str | None = None):
@@ -466,16 +468,50 @@ def align_best(spark, sf_dir):
     return align.best(align.scores(*_pair(spark, sf_dir), ALIGN))
 
 
+def _full_target(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scene, and every point of it moved."""
+    p = scene_points(spark, sf_dir)
+    return p, grid.translate(p, 2.0, -3.0, 1.5)
+
+
+def _full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.scores(*(prepared(q, FULL_ALIGN) for q in _full_target(spark, sf_dir)), FULL_ALIGN)
+
+
+@query()
+def align_full_overlap(spark, sf_dir):
+    a, b = (grid.frame_of(grid.cloud_meta(q), FULL_ALIGN.gsd) for q in _full_target(spark, sf_dir))
+    return spark.createDataFrame([align.overlap(a, b)], "xmin double, xmax double, ymin double, ymax double")
+
+
+@query()
+def align_full_scores(spark, sf_dir):
+    return _full_scores(spark, sf_dir)
+
+
+@query()
+def align_full_best(spark, sf_dir):
+    return align.best(_full_scores(spark, sf_dir))
+
+
 @query()
 def align_peak(spark, sf_dir):
-    r = align.estimate(align.scores(*_pair(spark, sf_dir), ALIGN), 1.0, ALIGN.maxt)
+    r = align.estimate(_full_scores(spark, sf_dir), FULL_ALIGN.gsd, FULL_ALIGN.maxt)
     return spark.createDataFrame([(r["tx"], r["ty"], r["tz"], r["rms"], r["completeness"], r["ok"])], "tx double, ty double, tz double, rms double, completeness double, ok boolean")
 
 
+@query()
+def align_full_report(spark, sf_dir):
+    return _report(align.best(_full_scores(spark, sf_dir)))
+
+
+def _report(b: DataFrame) -> DataFrame:
+    return b.select(F.format_string("%08.3f %08.3f %08.3f %08.3f", -F.col("dx"), -F.col("dy"), F.col("tz").cast("double"), F.col("rms").cast("double")).alias("value"))
+
+
 @query("SELECT printf('%08.3f %08.3f %08.3f %08.3f', -dx, -dy, tz, rms) AS value FROM ranked")
 def align_report(spark, sf_dir):
-    b = align.best(align.scores(*_pair(spark, sf_dir), ALIGN))
-    return b.select(F.format_string("%08.3f %08.3f %08.3f %08.3f", -F.col("dx"), -F.col("dy"), F.col("tz").cast("double"), F.col("rms").cast("double")).alias("value"))
+    return _report(align.best(align.scores(*_pair(spark, sf_dir), ALIGN)))
 
 
 # Stream extension, on the events table in batch
