@@ -381,7 +381,7 @@ def building_mask(spark, sf_dir):
 # Outlines: rings of the classified scene have no SQL form; metrics over given rings do
 
 
-#: A ring from the orders table: the first 60 keys on a wobbling circle.
+#: A ring from the orders table: the first 60 keys on a wobbling circle. The queries held by SQL take this one ring.
 _RING_SQL = "SELECT CAST(1 AS INTEGER) AS label, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS i, CAST(o_orderkey * 37 % 101 AS DOUBLE) AS x, CAST(o_orderkey * 53 % 97 AS DOUBLE) AS y FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey <= 60)"
 
 
@@ -404,9 +404,27 @@ def polygon_area(spark, sf_dir):
     return _ring(spark, sf_dir).select("label", geometry.ring_area(F.col("ring")).alias("area"))
 
 
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings from the whole orders table: keys 0 to 60 are the ring above with label 1, the next 61 label 2, and so on."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey IS NOT NULL").select("o_orderkey", F.expr("cast(o_orderkey div 61 + 1 as int)").alias("label")).distinct()
+    points = keys.groupBy("label").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.struct((k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"))).alias("ring"))
+    return points.select("label", "ring", F.array().cast("array<array<struct<x:double,y:double>>>").alias("inner_rings"))
+
+
+@query()
+def ring_corner_metric_all(spark, sf_dir):
+    out = vector.corner_metric(vector.ring_points(_rings(spark, sf_dir)), 5)
+    return out.select("label", "i", F.round("metric", 6).alias("metric"))
+
+
+@query()
+def polygon_area_all(spark, sf_dir):
+    return _rings(spark, sf_dir).select("label", geometry.ring_area(F.col("ring")).alias("area"))
+
+
 @query()
 def vw_reduce(spark, sf_dir):
-    return vector.vw_reduce(_ring(spark, sf_dir), 400.0)
+    return vector.vw_reduce(_rings(spark, sf_dir), 400.0)
 
 
 @query()
