@@ -367,6 +367,12 @@ def class_edge_growth(spark, sf_dir):
     return focal.grow_buildings(b.base, b.dsm, P, rounds=1)
 
 
+@query()
+def class_edge_growth_full(spark, sf_dir):
+    b = Bench(spark, sf_dir)
+    return focal.grow_buildings(b.base, b.dsm, P)
+
+
 @query('SELECT "row", col, v FROM major')
 def class_majority(spark, sf_dir):
     b = Bench(spark, sf_dir)
