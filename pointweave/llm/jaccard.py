@@ -6,23 +6,23 @@ share a node, so copies cost nothing. Two sets link when 100 * intersection >= 7
 
 1. *Groups.* Sets that agree on a pair of min-hashes are held against the least set of their bucket (a star, so a
    bucket of any size costs as many comparisons as it has members). Verified links join sets into groups.
-2. *Token-group matrix.* Linked sets of sizes x <= y differ in at most (x + y) / 7 tokens. The tokens are dealt to more
-   parts than that by hash (as many as the larger size class asks for), so of the larger set's parts that are not empty
-   a known number stays the same in both. Hashes of parts are shuffled in sorted blocks; a part whose holders are all in
-   one group is dropped there, and what is left lists, by part, the groups that hold it: sets query the other groups of a
-   fitting size. Lists of more than ``LONG_LIST`` groups (passages that many documents share) are left out at first, and
-   each set's parts in them are counted: a set with fewer of them than parts that stay the same has a short list in
-   common with every partner. The few sets of which that is not so ask the long lists in a second round.
-   Parity bitmaps refuse most queries: where two bitmaps differ, so do the sets. Small groups are tried by member; of
-   larger ones only the star centers are, at half the similarity: each member links to a center, and the Jaccard distance
-   obeys the triangle inequality.
-3. *Open.* A group's member sets are united; a query whose overlap with the union is under 0.75 n is refused without
+2. *Token-group matrix.* Tokens have one order: the many by hash, then those that were seen to repeat, the most frequent
+   last. Linked sets share a token among their first n - ceil(0.75 n) + 1 in any fixed order, so only these are held. A
+   token's row lists the sets that hold it; equal rows count once; sets query the larger groups of their rows that have
+   a member of a fitting size.
+3. *Crowds.* Sets of which three quarters or more are frequent tokens would make long rows. What two of them share is
+   known without their texts: a rare token (then step 2 finds them) or only frequent ones, so sets with the same frequent
+   tokens (a profile) stand behind the smallest of them, and profiles are joined by their own rows: first against the
+   row's center, then what is still apart. A set joins when the best overlap of its profile reaches its size.
+4. *Open.* A group's member sets are united; a query whose overlap with the union is under 0.75 n is refused without
    looking further, else the members are compared one by one until one links (the group is connected already).
 
-Steps 2 and 3 miss nothing that step 1 left over, so the result is exact (up to 64-bit token and 128-bit set hashes, and
-a chance below 1e-9 for a set whose tokens crowd into so few parts that the argument of step 2 fails).
-Null text has no words; a row without doc_id is linked with nothing. Rows that share a doc_id are separate documents. Other columns do not matter. An empty table
-gives an empty result.
+Steps 2 to 4 miss nothing that step 1 left over, so the result is exact (up to 64-bit token and 128-bit set hashes).
+Which tokens are listed as frequent changes the work, never the result; the list is cut at ``LISTED`` of them.
+
+Null text has no words; a row without doc_id is linked with nothing. Rows that share a doc_id are separate documents. Very
+long texts are taken whole. Links are symmetric, so ties need no rule; of equal sets the least doc_id names the node.
+Other columns do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pointweave.llm.common import lean_batches, materialize, small, trim
 from pointweave.llm.graph import components
@@ -44,22 +44,21 @@ from pointweave.llm.wordhash import mix, slices, white_space, words
 N = 5
 PERCENT = 75
 HASHES, BANDS = 12, 6
-#: Parts that one block holds, and that one task of the matrix gets.
-BLOCK_PARTS, RANGE_PARTS, LEAST_RANGES = 1 << 18, 1 << 19, 64
-#: Sets of up to this size have one part for each token; larger ones half as many parts as tokens, and ten.
-SMALL_SET = 64
-#: Bits of the smallest bitmaps, and the largest group that is tried by member.
-LEAST_BITS, BITMAP_GROUP = 512, 16
-#: Bits kept of a part's hash; parts that meet by chance only cost a comparison.
-PART_BITS = 40
-#: Groups that a part's list may hold in the first round, and parts that the second round filters by.
-LONG_LIST, ASKED_PARTS = 24, 2 << 20
+#: Frequent tokens that the order knows, and the repeats that a token needs for the list.
+LISTED, REPEATS = 1 << 20, 6
+#: Tokens that a task remembers while it looks for repeats.
+REMEMBERED_BITS = 21
+#: Entries that one block holds, and that one task of the matrix gets.
+BLOCK_ENTRIES, RANGE_ENTRIES, LEAST_RANGES = 1 << 18, 1 << 19, 16
+#: Bits kept of a token in the matrix; tokens that meet by chance only cost a comparison.
+TOKEN_BITS = 40
 #: Sets opened by one task.
 GROUP_SETS = 256
 #: Routed texts that one call of a kernel gets, on average.
 BUCKET_ROWS = 250
 
 _U = np.uint64
+_A, _B = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25)
 
 
 def shingles(w: np.ndarray) -> np.ndarray:
@@ -79,24 +78,52 @@ def _short(w: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Each row's sorted distinct shingle hashes."""
+def flat_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens, bounds of each row's tokens) of consecutive rows; a row's tokens are sorted and distinct."""
     gap = white_space()
-    for _, data, bounds in slices(column):
+    for lo, data, bounds in slices(column):
         w, at = words(data, bounds, gap)
-        every = shingles(w)
-        for a, b in zip(at[:-1], at[1:], strict=True):
+        every, held = np.zeros(len(w), _U), np.zeros(len(w), bool)
+        run = shingles(w)
+        every[: len(run)] = run
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= N:
-                yield np.unique(every[a : b - N + 1])
-            else:
-                yield _short(w[a:b]) if b > a else np.zeros(0, _U)
+                every[a : b - N + 1].sort()
+                held[a : b - N + 1] = True
+            elif b > a:
+                every[a], held[a] = _short(w[a:b])[0], True
+        starts = at[:-1][at[1:] > at[:-1]]
+        again = np.zeros(len(w), bool)
+        again[1:] = every[1:] == every[:-1]
+        again[starts] = False
+        held &= ~again
+        yield lo, every[held], np.concatenate([[0], np.cumsum(held)])[at]
+
+
+def sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's sorted distinct shingle hashes."""
+    for _, tokens, at in flat_sets(column):
+        yield from (tokens[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+    return total[at[1:]] - total[at[:-1]]
+
+
+def names(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit names of the sets, two columns."""
+    n = np.diff(at).astype(_U)
+    return np.stack([mix(_sums(mix(tokens ^ _A), at) + n), mix(_sums(mix(tokens + _B), at) ^ n)], axis=1)
+
+
+def _binary(name: np.ndarray) -> list[bytes]:
+    raw = name.astype(">u8").tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
 def _node(tokens: np.ndarray) -> bytes:
-    """128-bit name of a set."""
-    a = mix(tokens ^ _U(0xA24BAED4963EE407)).sum(dtype=_U)
-    b = mix(tokens + _U(0x9FB21C651E98DF25)).sum(dtype=_U)
-    return mix(np.array([a + _U(len(tokens)), b ^ _U(len(tokens))], _U)).astype(">u8").tobytes()
+    return _binary(names(tokens, np.array([0, len(tokens)])))[0]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -106,195 +133,209 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def size_classes(n: int) -> list[int]:
-    """Upper ends of the set's own size class and of the next one; partners are in one of these or one below."""
-    top = SMALL_SET
-    while top < n:
-        top = top * 100 // PERCENT
-    return [top, top * 100 // PERCENT]
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Tokens that a set of n shares with any partner, at least."""
+    return (PERCENT * n + 99) // 100
 
 
-def parts(tokens: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Hashes of the set's parts in its own size class and then in the next; how many are its own, and how many of these at
-    least are the same in any partner that is not larger (0 or less: nothing is known)."""
-    keys, n = [], len(tokens)
-    for top in size_classes(n):
-        if top <= SMALL_SET:
-            key = mix(tokens + _U(top))
-        else:
-            spread = mix(tokens ^ _U(top * 0x9E3779B1))
-            part = ((spread >> _U(32)) * _U(top // 2 + 10)) >> _U(32)
-            order = np.argsort(part, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
-            key = mix(np.add.reduceat(mix(tokens[order] + _U(0x632BE59BD9B4E019)), at) + mix(part[order][at] * _U(1 << 20) + _U(top)))
-        keys.append(key)
-    return np.concatenate(keys) >> _U(64 - PART_BITS), len(keys[0]), len(keys[0]) - 2 * n // 7
+class Repeats:
+    """Tokens seen again among the last few million; what it reports was seen twice, what lies further apart it may miss."""
 
+    def __init__(self, bits: int = REMEMBERED_BITS):
+        self.shift, self.last, self.found = _U(64 - bits), np.zeros(1 << bits, _U), []
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens at each of four to eight times as many places as tokens, a power of two."""
-    bits = max(LEAST_BITS, 1 << (4 * len(tokens) - 1).bit_length())
-    odd = np.bincount((mix(tokens ^ _U(0x8CB92BA72F3D8DD7)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+    def see(self, tokens: np.ndarray) -> None:
+        if not len(tokens):
+            return
+        slot = (mix(tokens) >> self.shift).astype(np.int64)
+        self.found.append(tokens[self.last[slot] == tokens])
+        at = np.zeros(len(self.last), np.int32)
+        at[slot] = np.arange(len(tokens))
+        later = at[slot]
+        self.found.append(tokens[(later != np.arange(len(tokens))) & (tokens[later] == tokens)])
+        self.last[slot] = tokens
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        token, n = np.unique(np.concatenate([*self.found, np.zeros(0, _U)]), return_counts=True)
+        return token, n.astype(_U)
 
-def may_link(a: bytes, na: int, b: bytes, nb: int, share: int = 7) -> bool:
-    """Whether the sets may differ in no more than 1 / share of their sizes' sum (7: similarity 0.75, 3: 0.5). The larger
-    bitmap is folded to the size of the smaller, which keeps parities."""
-    size = min(len(a), len(b))
-    x, y = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0) for m in (a, b))
-    return share * int.from_bytes((x ^ y).tobytes()).bit_count() <= na + nb
 
-
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary()), ("same", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("repeats", pa.binary())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: set size, the set's name, its min-hash pairs and its bitmap."""
+    """Per document: set size, the set's name and its min-hash pairs. A task's last row (n null) has its repeated tokens."""
     salts = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+    repeats, known = Repeats(), set()
     for batch in batches:
-        rows: list[tuple] = []
+        keys = batch.column(0)
+        for lo, tokens, at in flat_sets(batch.column(1)):
+            n = np.diff(at)
+            key = keys.slice(lo, len(n))
+            some = (n > 0) & key.is_valid().to_numpy(zero_copy_only=False)
+            spread, full = mix(tokens), np.flatnonzero(n)
+            bands = np.zeros((len(full), BANDS), _U)
+            if len(full):
+                low = [np.minimum.reduceat(spread * s, at[:-1][full]) for s in salts]
+                for b in range(BANDS):
+                    bands[:, b] = mix(low[2 * b] * _U(0xD6E8FEB86659FD93) + low[2 * b + 1] + _U(b))
+            node = [x if ok else None for x, ok in zip(_binary(names(tokens, at)), some.tolist(), strict=True)]
+            first = np.zeros(len(n), bool)
+            for i in np.flatnonzero(some).tolist():
+                if node[i] not in known:
+                    known.add(node[i])
+                    first[i] = True
+            if len(known) > 1 << 17:
+                known.clear()
+            repeats.see(tokens[np.repeat(first, n)])
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(node, pa.binary()), lists, pa.nulls(len(n), pa.binary())], schema=_SKETCH)
         trim()
-        for key, tokens in zip(batch.column(0).to_pylist(), sets(batch.column(1)), strict=True):
-            if key is None or not len(tokens):
-                rows.append((key, len(tokens), None, None, None, None))
-                continue
-            spread = mix(tokens)
-            low = np.array([(spread * s).min() for s in salts], _U)
-            keys = mix(low[0::2] * _U(0xD6E8FEB86659FD93) + low[1::2] + np.arange(BANDS, dtype=_U))
-            rows.append((key, len(tokens), _node(tokens), keys.view(np.int64), bitmap(tokens), parts(tokens)[2]))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)] if rows else [pa.array([], t) for t in _SKETCH.types], schema=_SKETCH)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, pack(*repeats.counts())), _SKETCH.types, strict=True)], schema=_SKETCH)
 
 
-def _short_name(node: bytes) -> int:
-    """First 64 bits of a set's name: two sets of one short name only cost comparisons."""
-    return int.from_bytes(node[:8], "big")
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in unpack(blob, 2)], ["token", "n"])
+
+
+def frequent(sketches: DataFrame) -> np.ndarray:
+    """Tokens that repeat, the most frequent last; at most ``LISTED``."""
+    seen = sketches.where("n is null").select("repeats").mapInArrow(_unpacked, "token long, n long")
+    seen = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= REPEATS)
+    listed = seen.orderBy(F.desc("n"), "token").limit(LISTED).toArrow()  # 16 MB at most
+    return listed.column("token").to_numpy()[::-1].astype(np.int64).view(_U)
+
+
+class Order:
+    """Place of the frequent tokens in the order."""
+
+    def __init__(self, listed: np.ndarray):
+        self.place = np.argsort(listed, kind="stable")
+        self.tokens = listed[self.place]
+        self.sieve = np.zeros(1 << 24, bool)
+        self.sieve[(self.tokens >> _U(40)).astype(np.int64)] = True
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """-1 where a token is not listed."""
+        out = np.full(len(tokens), -1, np.int64)
+        may = np.flatnonzero(self.sieve[(tokens >> _U(40)).astype(np.int64)])
+        if len(may):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[may]), len(self.tokens) - 1)
+            real = self.tokens[at] == tokens[may]
+            out[may[real]] = self.place[at[real]]
+        return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of each text in both size classes."""
-    for batch in batches:
-        for tokens in sets(batch.column(0)):
-            if len(tokens):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(parts(tokens)[0]).view(np.int64))], ["part"])
-
-
-def _blocks(ranges: int, only: np.ndarray | None = None):
-    """Sorted blocks of parts by range, with the sets that hold them. Marks: 1 a part of the set's own size class, 2 the
-    set asks long lists. only: (sorted) parts that others may hold as well."""
-
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[0]: r for r in rows}.values())  # documents of one set count once
-        part, mark = (np.frombuffer(b"".join(r[k] for r in rows), _U) for k in (3, 4))
-        owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
-        names = np.array([_short_name(r[0]) for r in rows], _U)
-        roots = np.array([_short_name(r[1]) for r in rows], _U)
-        held = (names, np.where(roots == names, _U(0), roots), np.array([r[2] for r in rows], _U))
-        order = np.argsort(part, kind="stable")
-        part, mark, owner = part[order], mark[order], owner[order]
-        cut = np.concatenate([[0], np.searchsorted(part, np.array([(i << PART_BITS) // ranges for i in range(1, ranges)], _U)), [len(part)]])
-        out = []
-        for r in range(ranges):
-            a, b = cut[r], cut[r + 1]
-            if b > a:
-                own, local = np.unique(owner[a:b], return_inverse=True)
-                out.append((r, pack(*(c[own] for c in held)), pack(part[a:b], local.astype(_U) * _U(4) + mark[a:b])))
-        del part, mark, owner, order
-        trim()
-        types = (pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["range", "held", "blob"])
+_HELD = pa.schema([("range", pa.int32()), ("held", pa.binary()), ("blob", pa.binary()), ("node", pa.binary()), ("n", pa.int64()), ("profile", pa.binary()), ("places", pa.list_(pa.int32()))])
+_HELD_SQL = "range int, held binary, blob binary, node binary, n long, profile binary, places array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for tokens, own in zip(sets(batch.column(0)), batch.column(1), strict=True):
-                if not len(tokens):
-                    continue
-                node = _node(tokens)
-                known = {r["node"]: r for r in own.as_py() or ()}.get(node, {"root": node, "asks": False})
-                part, n_own, _ = parts(tokens)
-                mark = (np.arange(len(part)) < n_own).astype(_U) + _U(2 * known["asks"])
-                if only is not None:
-                    at = np.minimum(np.searchsorted(only, part), len(only) - 1)
-                    part, mark = part[only[at] == part], mark[only[at] == part]
-                rows.append((node, known["root"], len(tokens), part.tobytes(), mark.tobytes()))
-                held += len(part)
-                if held >= BLOCK_PARTS:
-                    yield block(rows)
-                    rows, held = [], 0
-        if rows:
-            yield block(rows)
 
-    return run
+def _block(ranges: int, token: np.ndarray, owner: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted entries by range, with the sets that hold them."""
+    token = mix(token) >> _U(64 - TOKEN_BITS)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    cut = np.concatenate([[0], np.searchsorted(token, np.array([(i << TOKEN_BITS) // ranges for i in range(1, ranges)], _U)), [len(token)]])
+    out = []
+    for r in np.flatnonzero(np.diff(cut)).tolist():
+        own, local = np.unique(owner[cut[r] : cut[r + 1]], return_inverse=True)
+        out.append((r, pack(node[own], n[own].astype(_U)), pack(token[cut[r] : cut[r + 1]], local.astype(_U))))
+    none = [pa.nulls(len(out), t) for t in _HELD.types[3:]]
+    return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], _HELD.types[k]) for k in range(3)), *none], schema=_HELD)
 
 
-_PAIRS = "node long, group long, long int"
+def _prefixes(ranges: int, listed: Broadcast):
+    """Entries of each set's first tokens that are not listed, in blocks; and the sets whose first tokens reach the list,
+    with all their listed tokens in order (the profile)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, waiting, held, base, known = Order(listed.value), [], 0, 0, set()
 
-def _matrix(second: bool):
-    """First round: sets and other groups of a fitting size that hold a part in common, by short lists; and per set how
-    many of its own parts are in long lists. Second round: what asking sets find in long lists. Names are short ones."""
+        def flush() -> pa.RecordBatch:
+            nonlocal held, base
+            out = _block(ranges, *(np.concatenate(c) for c in zip(*waiting, strict=True)))
+            waiting.clear()
+            known.clear()
+            held = base = 0
+            return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, owner, mark, held, base = [], [], [], [], 0
-        for own, blob in zip(pdf["held"], pdf["blob"], strict=True):
-            p, o = unpack(blob, 2)
-            part.append(p)
-            owner.append((o >> _U(2)).astype(np.int64) + base)
-            mark.append((o & _U(3)).astype(np.int64))
-            held.append(unpack(own, 3))
-            base += len(held[-1][0])
-        part, owner, mark = np.concatenate(part), np.concatenate(owner), np.concatenate(mark)
-        nodes, roots, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        roots = np.where(roots == 0, nodes, roots)
-        # a set may come from several blocks
-        nodes, at, again = np.unique(nodes, return_index=True, return_inverse=True)
-        owner, n = again[owner], n[at].astype(np.int64)
-        names, group = np.unique(roots[at], return_inverse=True)
-        order = np.lexsort((owner, group[owner], part))
-        part, owner, mark = part[order], owner[order], mark[order]
-        keep = np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
-        part, owner, mark = part[keep], owner[keep], mark[keep]
-        g = group[owner]
-        new = np.concatenate([[True], part[1:] != part[:-1]])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(part))
-        n_groups = np.add.reduceat((new | np.concatenate([[True], g[1:] != g[:-1]])).astype(np.int64), begin)
-        long = n_groups > LONG_LIST
-        found: set[int] = set()
-        width = len(names)
-        for a, b in zip(begin[long if second else ~long & (n_groups > 1)], end[long if second else ~long & (n_groups > 1)], strict=True):
-            own, og, asks = owner[a:b], g[a:b], mark[a:b] >= 2
-            at = np.flatnonzero(np.concatenate([[True], og[1:] != og[:-1]]))
-            to = np.append(at[1:], len(og))
-            lo, hi = np.minimum.reduceat(n[own], at), np.maximum.reduceat(n[own], at)
-            if second:
-                for q in own[asks]:
-                    fits = (og[at] != group[q]) & (100 * n[q] >= PERCENT * lo) & (PERCENT * n[q] <= 100 * hi)
-                    found.update((q * width + og[at][fits]).tolist())
-                continue
-            rank = np.lexsort((og[at], at - to))  # large groups first; smaller ones query them
-            for place, k in enumerate(rank[:-1]):
-                for j in rank[place + 1 :]:
-                    q = own[at[j] : to[j]]
-                    q = q[(100 * n[q] >= PERCENT * lo[k]) & (PERCENT * n[q] <= 100 * hi[k])]
-                    found.update((q * width + og[at[k]]).tolist())
-        keys = np.fromiter(found, np.int64, len(found))
-        out = pd.DataFrame({"node": nodes[keys // width].view(np.int64), "group": names[keys % width].view(np.int64), "long": 0})
-        if not second:  # a count comes with the set itself as the group
-            counts = np.bincount(owner[np.repeat(long, end - begin) & (mark & 1 == 1)], minlength=len(nodes))
-            some = np.flatnonzero(counts)
-            out = pd.concat([out, pd.DataFrame({"node": nodes[some].view(np.int64), "group": nodes[some].view(np.int64), "long": counts[some]})])
-        del part, owner, mark, order, keep, g
-        trim()
-        return out
+        for batch in batches:
+            for _, tokens, at in flat_sets(batch.column(0)):
+                name = names(tokens, at)
+                node, first = _binary(name), np.zeros(len(at) - 1, bool)
+                for i in np.flatnonzero(np.diff(at)).tolist():
+                    if node[i] not in known:  # documents of one set count once
+                        known.add(node[i])
+                        first[i] = True
+                tokens = tokens[np.repeat(first, np.diff(at))]
+                name, n = name[first], np.diff(at)[first]
+                if not len(n):
+                    continue
+                own = np.repeat(np.arange(len(n)), n)
+                place = order.places(tokens)
+                rare = place < 0
+                ends = np.cumsum(n)
+                before = np.concatenate([[0], np.cumsum(rare)])
+                n_rare = before[ends] - before[ends - n]
+                most = n - least_shared(n) + 1
+                took = rare & (before[:-1] - before[ends - n][own] < most[own])
+                waiting.append((tokens[took], own[took] + base, name[:, 0], n))
+                base, held = base + len(n), held + int(took.sum())
+                crowded = np.flatnonzero(n_rare < most)
+                if len(crowded):
+                    mine = [np.sort(place[e - k : e][~rare[e - k : e]]) for e, k in zip(ends[crowded].tolist(), n[crowded].tolist(), strict=True)]
+                    profile = [_node(p.astype(_U)) for p in mine]
+                    cols = (pa.array(_binary(name[crowded]), pa.binary()), pa.array(n[crowded], pa.int64()), pa.array(profile, pa.binary()), pa.array(mine, pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(crowded), t) for t in _HELD.types[:3]), *cols], schema=_HELD)
+                if held >= BLOCK_ENTRIES:
+                    yield flush()
+            trim()
+        if waiting:
+            yield flush()
 
     return run
 
 
-@F.pandas_udf(BooleanType())
-def _may_link(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series, share: pd.Series) -> pd.Series:
-    return pd.Series([may_link(x, i, y, j, k) for x, i, y, j, k in zip(a, na, b, nb, share, strict=True)])
+_ROWS = "row long, node array<long>, n array<long>"
+
+
+def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of tokens that several sets hold: short names and sizes of these sets; equal rows once."""
+    token, owner, held, base = [], [], [], 0
+    for own, blob in zip(pdf["held"], pdf["blob"], strict=True):
+        t, o = unpack(blob, 2)
+        token.append(t)
+        owner.append(o.astype(np.int64) + base)
+        held.append(unpack(own, 2))
+        base += len(held[-1][0])
+    token, owner = np.concatenate(token), np.concatenate(owner)
+    node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    node, at, again = np.unique(node, return_index=True, return_inverse=True)  # a set may come from several blocks
+    n, owner = n[at].astype(np.int64), again[owner]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    same = np.zeros(len(token), bool)
+    same[1:] = token[1:] == token[:-1]
+    same[:-1] |= same[1:]
+    token, owner = token[same], owner[same]
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    token, owner = token[new], owner[new]
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    ends = np.append(begin[1:], len(token))
+    sign = mix(_sums(mix(node[owner]), np.append(begin, len(token)))).view(np.int64) if len(token) else np.zeros(0, np.int64)
+    _, once = np.unique(sign, return_index=True)
+    once = once[(ends - begin)[once] > 1]
+    lists = [pd.Series([c[owner[a:b]] for a, b in zip(begin[once], ends[once], strict=True)], dtype=object) for c in (node.view(np.int64), n)]
+    out = pd.DataFrame({"row": sign[once], "node": lists[0], "n": lists[1]})
+    del token, owner, order, held
+    trim()
+    return out
 
 
 _EDGES = "a binary, b binary"
@@ -359,63 +400,102 @@ def _salted(key, node, count):
     return F.xxhash64(key, F.pmod(F.xxhash64(node), F.ceil(count / GROUP_SETS)))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. Returns (doc_id, n, node) per row, and verified edges (a, b) that connect what links connect."""
-    lean_batches(docs.sparkSession)
-    schema = "doc_id long, n long, node binary, bands array<long>, bits binary, same long"
-    rows = materialize(docs.mapInArrow(_sketch, schema), "sketches")
-    per_doc = rows.select("doc_id", "n", "node")
-    total = per_doc.agg(F.sum("n")).first()[0] or 0
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("same").alias("same"))
-    nodes = materialize(least, "nodes")
-
+def _stars(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between sets that agree on a pair of min-hashes and the least set that does."""
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("count")).where("count > 1")
-    member = banded.join(materialize(buckets, "buckets"), "band").where("node != center").select("node", "center", "count").distinct()
+    member = banded.join(materialize(buckets, "buckets"), "band").where("node != center").select("node", "center", "count")
     member = member.groupBy("node", "center").agg(F.max("count").alias("count"))
     member = materialize(member.select("node", "center", _salted("center", "node", F.col("count")).alias("task")), "members")
     routes = member.select("node", "task", F.lit(0).alias("role")).unionAll(member.select(F.col("center").alias("node"), "task", F.lit(1).alias("role")).distinct())
-    near = materialize(_route(docs, nodes, routes, _against_star), "links")
+    return materialize(_route(docs, nodes, routes, _against_star), "links")
+
+
+def _enough(shared, n, m):
+    """Whether sets of n and m tokens link if they share so many: shared / (n + m - shared) >= 3 / 4."""
+    return 7 * shared >= 3 * (n + m)
+
+
+def _crowds(crowd: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges between crowded sets by what their profiles share. crowd: node, n, profile, places."""
+    by_profile = crowd.groupBy("profile").agg(F.min(F.struct("n", "node")).alias("least"), F.max("n").alias("widest"), F.first("places").alias("places"))
+    size = F.size("places")
+    by_profile = by_profile.select("profile", F.col("least.n").alias("m"), F.col("least.node").alias("rep"), size.alias("c"), "places", (~_enough(size, F.col("widest"), F.col("least.n"))).alias("left"))
+    profiles = materialize(by_profile, "profiles")
+    count = profiles.count()
+    behind = crowd.select("node", "n", "profile").join(small(profiles.select("profile", "m", "rep", "c"), 64, count), "profile").where("node != rep")
+    behind = materialize(behind, "behind")
+    edges = behind.where(_enough(F.col("c"), F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+
+    least = F.floor((PERCENT * F.col("m") + 99) / 100).cast("int")
+    entries = materialize(profiles.select("profile", "m", "c", "rep", "left", F.explode(F.slice("places", 1, F.col("c") - least + 1)).alias("place")), "entries")
+    side = profiles.select("profile", "places")
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """pairs (profile, other, ...) with what they share."""
+        both = pairs.join(side, "profile").join(side.select(F.col("profile").alias("other"), F.col("places").alias("others")), "other")
+        return both.withColumn("shared", F.size(F.array_intersect("places", "others"))).drop("places", "others")
+
+    may = _enough(F.least("c", "d"), F.col("m"), F.col("k"))
+    centers = entries.groupBy("place").agg(F.min(F.struct("m", "profile", "c", "rep")).alias("to"))
+    centers = centers.select("place", F.col("to.profile").alias("other"), F.col("to.m").alias("k"), F.col("to.c").alias("d"), F.col("to.rep").alias("center"))
+    star = entries.join(small(materialize(centers, "centers"), 64), "place").where(F.col("profile") != F.col("other")).where(may)
+    star = overlaps(materialize(star.select("profile", "other", "m", "k", "rep", "center").distinct(), "star"))
+    edges = edges.unionAll(star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    edges = materialize(edges, "links")
+
+    roots = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(edges)), "roots")
+    own = profiles.select("profile", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("profile", F.coalesce("root", "rep").alias("root"))
+    rooted = materialize(entries.join(own, "profile"), "entries")
+    others = rooted.select("place", F.col("profile").alias("other"), F.col("m").alias("k"), F.col("c").alias("d"), F.col("root").alias("other_root"), F.col("rep").alias("other_rep"))
+    # the rows of one root alone ask nothing, but for profiles with sets that are too large for the smallest of them
+    mixed = rooted.groupBy("place").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("left").alias("any")).where("first != last or any").select("place")
+    apart = rooted.join(mixed, "place").join(others, "place").where(F.col("profile") != F.col("other")).where(may)
+    apart = apart.where(((F.col("root") != F.col("other_root")) & (F.col("rep") < F.col("other_rep"))) | (F.col("left") & (F.col("k") < F.col("m"))))
+    pairs = overlaps(materialize(apart.select("profile", "other", "m", "k", "rep", "other_rep", "left").distinct(), "apart"))
+    pairs = materialize(pairs, "overlaps")
+    edges = edges.unionAll(pairs.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")))
+    reach = pairs.where("left").groupBy("profile").agg(F.max(F.struct((7 * F.col("shared") - 3 * F.col("k")).alias("reach"), "other_rep")).alias("best"))
+    late = behind.join(reach, "profile").where(3 * F.col("n") <= F.col("best.reach"))
+    return edges.unionAll(late.select(F.col("node").alias("a"), F.col("best.other_rep").alias("b")))
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Returns (doc_id, n, node) per row, and edges (a, b) that connect what links connect."""
+    spark = docs.sparkSession
+    lean_batches(spark)
+    sketches = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, node binary, bands array<long>, repeats binary"), "sketches")
+    per_doc = sketches.where("n is not null").select("doc_id", "n", "node")
+    total = per_doc.agg(F.sum("n")).first()[0] or 0
+    listed = spark.sparkContext.broadcast(frequent(sketches))  # 8 MB at most
+    least = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(least, "nodes")
+
+    ranges = max(LEAST_RANGES, total // 4 // RANGE_ENTRIES)
+    held = materialize(docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(ranges, listed), _HELD_SQL), "prefixes")
+    rows = held.where("range is not null").select("range", "held", "blob").groupBy("range").applyInPandas(_matrix, _ROWS)
+    rows = materialize(rows.groupBy("row").agg(F.first("node").alias("node"), F.first("n").alias("n")), "rows")
+    crowd = held.where("range is null").groupBy("node").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("places").alias("places"))
+    crowd = materialize(crowd, "crowd")
 
+    groups = materialize(components(_stars(docs, nodes)), "groups")
+    near = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = materialize(near.unionAll(_crowds(crowd, groups)), "links")
     groups = materialize(components(near), "groups")
-    def blocks(asking: DataFrame | None = None, only: np.ndarray | None = None) -> DataFrame:
-        """The matrix's blocks; asking: node of the sets that ask long lists."""
-        roots = groups.withColumn("asks", F.lit(False))
-        if asking is not None:
-            roots = groups.join(asking, "node", "full").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"))
-        known = per_doc.join(small(roots, 80), "node").groupBy("doc_id").agg(F.collect_set(F.struct("node", "root", "asks")).alias("known"))
-        known = small(materialize(known, "grouped-documents"), 100)
-        held = docs.where("doc_id is not null").join(known, "doc_id", "left").select("text", "known")
-        made = held.mapInArrow(_blocks(max(LEAST_RANGES, total // RANGE_PARTS), only), "range int, held binary, blob binary")
-        return made.groupBy("range").applyInPandas(_matrix(asking is not None), _PAIRS)
-
-    first = materialize(blocks(), "queries")
+
+    # rows by group: sets query the larger groups of their rows
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(short.alias("s"), "root", "size")
+    entry = rows.select("row", F.explode(F.arrays_zip("node", "n")).alias("e")).select("row", F.col("e.node").alias("s"), "e.n")
     named = nodes.select(short.alias("s"), "node")
-    crowded = first.where("long > 0").groupBy(F.col("node").alias("s")).agg(F.sum("long").alias("long")).join(nodes.select(short.alias("s"), "node", "same"), "s")
-    asking = materialize(crowded.where("long >= same").select("node", F.lit(True).alias("asks")), "asking")
-    pair = first.where("long = 0").select("node", "group")
-    if not asking.isEmpty():
-        texts = docs.join(small(asking.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct(), 16), "doc_id", "left_semi")
-        keys = texts.select("text").mapInArrow(_keys, "part long").distinct()
-        keys = materialize(keys, "asked-parts")
-        few = keys.count() <= ASKED_PARTS
-        only = np.sort(keys.toArrow().column("part").to_numpy().astype(np.int64)).view(_U) if few else None
-        pair = pair.unionAll(blocks(asking, only).where("long = 0").select("node", "group"))
-    pair = materialize(pair.distinct(), "short-queries")
-    pair = pair.withColumnRenamed("node", "s").join(named, "s").select("node", F.col("group").alias("s"))
-    pair = materialize(pair.join(named.withColumnRenamed("node", "group"), "s").select("node", "group"), "queries")
-    # bitmaps refuse most queries
-    size = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
-    sized = groups.join(size, "root")
-    centers = near.select(F.col("b").alias("node")).distinct()
-    tried = sized.where(F.col("size") <= BITMAP_GROUP).select("root", "node", F.lit(7).alias("share"))
-    tried = tried.unionAll(sized.where(F.col("size") > BITMAP_GROUP).join(centers, "node", "left_semi").select("root", "node", F.lit(3).alias("share")))
-    tried = materialize(tried.select(F.col("root").alias("group"), F.col("node").alias("member"), "share"), "tried")
-    sides = nodes.select("node", "n", "bits")
-    against = pair.join(tried, "group", "left").select("node", "group", F.coalesce("member", "group").alias("member"), F.coalesce("share", F.lit(7)).alias("share"))
-    against = against.join(sides, "node").join(sides.select(F.col("node").alias("member"), F.col("n").alias("m"), F.col("bits").alias("other")), "member")
-    pair = materialize(against.where(_may_link("bits", "n", "other", "m", "share")).select("node", "group").distinct(), "pairs")
+    entry = entry.join(named, "s").join(small(materialize(sized, "grouped"), 48), "s", "left")
+    entry = materialize(entry.select("row", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")), "row-entries")
+    held_by = entry.groupBy("row", F.col("root").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("of"))
+    fits = (100 * F.col("n") >= PERCENT * F.col("lo")) & (PERCENT * F.col("n") <= 100 * F.col("hi"))
+    larger = (F.col("of") > F.col("size")) | ((F.col("of") == F.col("size")) & (F.col("group") > F.col("root")))
+    pair = entry.join(held_by, "row").where(larger & fits).select("node", "group").distinct()
+    pair = materialize(pair, "pairs")
+
     wanted = pair.select(F.col("group").alias("root")).distinct()
     in_groups = groups.join(wanted, "root", "left_semi").select("node", "root")
     alone = wanted.join(groups.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), "root")
@@ -425,7 +505,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     queries = pair.join(counts.withColumnRenamed("root", "group"), "group").select("node", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     queries = queries.select("node", F.xxhash64("group", F.col("part").cast("long")).alias("task"), F.lit(0).alias("role"))
     far = _route(docs, nodes, members.unionAll(queries), _against_union)
-    return per_doc.select("doc_id", "n", "node"), near.unionAll(materialize(far, "links"))
+    return per_doc, near.unionAll(materialize(far, "links"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

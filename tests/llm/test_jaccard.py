@@ -69,33 +69,73 @@ def test_matrix_alone_finds_every_link(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
-def test_linked_sets_share_a_part_and_pass_the_bitmap():
+def test_linked_sets_share_an_early_token():
+    """Whatever the order, and 7 * shared >= 3 * (n + m) says the same as the similarity."""
     rng = np.random.default_rng(3)
     for n in (*range(1, 90), 150, 400, 1000, 4000):
         for _ in range(6):
             x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            gone = int(rng.integers(0, max(len(x) // 7, 0) + 1))
+            gone = int(rng.integers(0, max(len(x) // 7, 0) + 2))
             y = np.union1d(x[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, len(x) // 7 + 1)), dtype=np.uint64))
-            if len(y) and j.linked(x, y) and len(np.setxor1d(x, y)):
-                big, little = (x, y) if len(x) >= len(y) else (y, x)
-                own, n_own, same = j.parts(big)
-                assert same > 0 and len(np.intersect1d(own[:n_own], j.parts(little)[0])) >= same
-                assert j.may_link(j.bitmap(x), len(x), j.bitmap(y), len(y))
+            both = len(np.intersect1d(x, y))
+            assert j.linked(x, y) == bool(j._enough(both, len(x), len(y))) or not len(y)
+            if len(y) and j.linked(x, y):
+                key = rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
+                first = [s[np.argsort(s * key[0])][: len(s) - int(j.least_shared(np.int64(len(s)))) + 1] for s in (x, y)]
+                assert len(np.intersect1d(*first))
 
 
-def test_long_lists_are_asked(spark, monkeypatch):
-    """With lists cut at two groups nearly all comes from the second round."""
+def crowded(seed=21):
+    """Texts of common passages with own tails of every length, so that some link only to a smaller text or another profile."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passages = [[word() for _ in range(n)] for n in (12, 30, 64)]
+    texts = []
+    for p in passages:
+        texts += [" ".join(p + [word() for _ in range(k)]) for k in (*range(len(p) // 2), *range(len(p) // 3))]
+        for _ in range(25):
+            w = list(p)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w + [word() for _ in range(rng.randrange(len(p) // 4))]))
+            lo = rng.randrange(len(p) // 4)
+            texts.append(" ".join(p[lo:] + [word() for _ in range(rng.randrange(len(p) // 4))]))
+        texts += [" ".join(p + q[: rng.randrange(len(q))]) for q in passages for _ in range(6)]
+    rng.shuffle(texts)
+    return [(i, t, "clash", 1, 2) for i, t in enumerate(texts)]
+
+
+def test_crowds(spark, monkeypatch):
+    """Sets of frequent tokens, with and without the min-hash groups, with a long and a short list."""
+    for seed, least, listed, stars in ((21, 2, 1 << 20, True), (22, 1, 1 << 20, False), (23, 6, 1 << 20, False), (24, 2, 40, False), (25, 10**9, 1 << 20, False)):
+        with monkeypatch.context() as m:
+            if not stars:
+                m.setattr(j, "_against_star", lambda members, center: ())
+            m.setattr(j, "REPEATS", least)
+            m.setattr(j, "LISTED", listed)
+            rows = crowded(seed)
+            got = j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+            assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_profiles_alone_find_every_link(spark, monkeypatch):
+    """Without the first comparison with a row's center the rest still has to find all."""
     monkeypatch.setattr(j, "_against_star", lambda members, center: ())
-    rows = corpus(14)
-    for few in (2, 8):
-        monkeypatch.setattr(j, "LONG_LIST", few)
-        assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+    monkeypatch.setattr(j, "REPEATS", 1)
+    rows = crowded(26) + [(1000 + i, t, *rest) for i, t, *rest in corpus(27)]
+    got = j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
 
 
-def test_large_groups_are_tried_by_center(spark, monkeypatch):
-    monkeypatch.setattr(j, "BITMAP_GROUP", 1)
-    rows = corpus(15)
-    assert sorted(map(tuple, j.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+def test_repeats_report_only_what_repeats():
+    rng = np.random.default_rng(5)
+    once, often = rng.integers(0, 1 << 63, 20000, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    seen = j.Repeats(12)
+    for part in np.array_split(once, 40):
+        seen.see(np.concatenate([part, often]))
+    tokens, n = seen.counts()
+    assert set(tokens.tolist()) <= set(often.tolist()) and n.max() <= 40
+    assert len(tokens) > 40
 
 
 def test_one_of_each_stays(spark):
