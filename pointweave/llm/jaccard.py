@@ -52,6 +52,10 @@ REMEMBERED_BITS = 21
 BLOCK_ENTRIES, RANGE_ENTRIES, LEAST_RANGES = 1 << 18, 1 << 19, 16
 #: Bits kept of a token in the matrix; tokens that meet by chance only cost a comparison.
 TOKEN_BITS = 40
+#: A set holds an n-th part of its tokens more than it needs to share one with a partner; it then shares so many more.
+MORE = 8
+#: Turns of comparing what is apart with several centers of a row, and these centers.
+STAR_ROUNDS, CENTERS = 2, 8
 #: Sets opened by one task.
 GROUP_SETS = 256
 #: Routed texts that one call of a kernel gets, on average.
@@ -233,7 +237,7 @@ _HELD = pa.schema([("range", pa.int32()), ("held", pa.binary()), ("blob", pa.bin
 _HELD_SQL = "range int, held binary, blob binary, node binary, n long, profile binary, places array<int>"
 
 
-def _block(ranges: int, token: np.ndarray, owner: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _block(ranges: int, token: np.ndarray, owner: np.ndarray, node: np.ndarray, n: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     """Sorted entries by range, with the sets that hold them."""
     token = mix(token) >> _U(64 - TOKEN_BITS)
     order = np.argsort(token, kind="stable")
@@ -242,7 +246,7 @@ def _block(ranges: int, token: np.ndarray, owner: np.ndarray, node: np.ndarray,
     out = []
     for r in np.flatnonzero(np.diff(cut)).tolist():
         own, local = np.unique(owner[cut[r] : cut[r + 1]], return_inverse=True)
-        out.append((r, pack(node[own], n[own].astype(_U)), pack(token[cut[r] : cut[r + 1]], local.astype(_U))))
+        out.append((r, pack(node[own], n[own].astype(_U), more[own].astype(_U)), pack(token[cut[r] : cut[r + 1]], local.astype(_U))))
     none = [pa.nulls(len(out), t) for t in _HELD.types[3:]]
     return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], _HELD.types[k]) for k in range(3)), *none], schema=_HELD)
 
@@ -281,8 +285,9 @@ def _prefixes(ranges: int, listed: Broadcast):
                 before = np.concatenate([[0], np.cumsum(rare)])
                 n_rare = before[ends] - before[ends - n]
                 most = n - least_shared(n) + 1
-                took = rare & (before[:-1] - before[ends - n][own] < most[own])
-                waiting.append((tokens[took], own[took] + base, name[:, 0], n))
+                more = np.clip(np.minimum(n // MORE, n_rare - most), 0, None)
+                took = rare & (before[:-1] - before[ends - n][own] < (most + more)[own])
+                waiting.append((tokens[took], own[took] + base, name[:, 0], n, more))
                 base, held = base + len(n), held + int(took.sum())
                 crowded = np.flatnonzero(n_rare < most)
                 if len(crowded):
@@ -299,22 +304,23 @@ def _prefixes(ranges: int, listed: Broadcast):
     return run
 
 
-_ROWS = "row long, node array<long>, n array<long>"
+_ROWS = "row long, tokens long, node array<long>, n array<long>, more array<long>"
 
 
 def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of tokens that several sets hold: short names and sizes of these sets; equal rows once."""
+    """Rows of tokens that several sets hold: short names, sizes and surplus tokens of these sets; equal rows once, with the
+    number of their tokens."""
     token, owner, held, base = [], [], [], 0
     for own, blob in zip(pdf["held"], pdf["blob"], strict=True):
         t, o = unpack(blob, 2)
         token.append(t)
         owner.append(o.astype(np.int64) + base)
-        held.append(unpack(own, 2))
+        held.append(unpack(own, 3))
         base += len(held[-1][0])
     token, owner = np.concatenate(token), np.concatenate(owner)
-    node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    node, n, more = (np.concatenate(c) for c in zip(*held, strict=True))
     node, at, again = np.unique(node, return_index=True, return_inverse=True)  # a set may come from several blocks
-    n, owner = n[at].astype(np.int64), again[owner]
+    n, more, owner = n[at].view(np.int64), more[at].view(np.int64), again[owner]
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     same = np.zeros(len(token), bool)
@@ -326,14 +332,15 @@ def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     token, owner = token[new], owner[new]
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
     ends = np.append(begin[1:], len(token))
-    sign = mix(_sums(mix(node[owner]), np.append(begin, len(token)))).view(np.int64) if len(token) else np.zeros(0, np.int64)
-    _, once = np.unique(sign, return_index=True)
-    once = once[(ends - begin)[once] > 1]
-    lists = [pd.Series([c[owner[a:b]] for a, b in zip(begin[once], ends[once], strict=True)], dtype=object) for c in (node.view(np.int64), n)]
-    out = pd.DataFrame({"row": sign[once], "node": lists[0], "n": lists[1]})
-    del token, owner, order, held
+    sign = mix(_sums(mix(node[owner]), np.append(begin, len(token)))).view(np.int64)
+    sign, once, count = np.unique(sign, return_index=True, return_counts=True)
+    several = (ends - begin)[once] > 1
+    sign, once, count = sign[several], once[several], count[several]
+    lists = [pd.Series([c[owner[a:b]] for a, b in zip(begin[once], ends[once], strict=True)], dtype=object) for c in (node.view(np.int64), n, more)]
+    out = pd.DataFrame({"row": sign, "tokens": count, "node": lists[0], "n": lists[1], "more": lists[2]})
+    del token, owner, order, held, lists
     trim()
     return out
 
@@ -416,11 +423,18 @@ def _enough(shared, n, m):
     return 7 * shared >= 3 * (n + m)
 
 
+def _rooted(entries: DataFrame, profiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entries with the root of their profile's smallest set."""
+    roots = materialize(components(edges), "roots")
+    own = profiles.select("profile", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("profile", F.coalesce("root", "rep").alias("root"))
+    return materialize(entries.join(own, "profile"), "entries")
+
+
 def _crowds(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges between crowded sets by what their profiles share. crowd: node, n, profile, places."""
-    by_profile = crowd.groupBy("profile").agg(F.min(F.struct("n", "node")).alias("least"), F.max("n").alias("widest"), F.first("places").alias("places"))
+    by_profile = crowd.groupBy("profile").agg(F.min(F.struct("n", "node")).alias("least"), F.max("n").alias("widest"), F.count(F.lit(1)).alias("count"), F.first("places").alias("places"))
     size = F.size("places")
-    by_profile = by_profile.select("profile", F.col("least.n").alias("m"), F.col("least.node").alias("rep"), size.alias("c"), "places", (~_enough(size, F.col("widest"), F.col("least.n"))).alias("left"))
+    by_profile = by_profile.select("profile", F.col("least.n").alias("m"), F.col("least.node").alias("rep"), size.alias("c"), "places", ((F.col("count") > 1) & ~_enough(size, F.col("widest"), F.col("least.n"))).alias("left"))
     profiles = materialize(by_profile, "profiles")
     count = profiles.count()
     behind = crowd.select("node", "n", "profile").join(small(profiles.select("profile", "m", "rep", "c"), 64, count), "profile").where("node != rep")
@@ -428,7 +442,8 @@ def _crowds(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     edges = behind.where(_enough(F.col("c"), F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
     least = F.floor((PERCENT * F.col("m") + 99) / 100).cast("int")
-    entries = materialize(profiles.select("profile", "m", "c", "rep", "left", F.explode(F.slice("places", 1, F.col("c") - least + 1)).alias("place")), "entries")
+    early = profiles.select("profile", "m", "c", "rep", "left", F.slice("places", 1, F.col("c") - least + 1).alias("early"))
+    entries = materialize(early.select("profile", "m", "c", "rep", "left", F.explode("early").alias("place")), "entries")
     side = profiles.select("profile", "places")
 
     def overlaps(pairs: DataFrame) -> DataFrame:
@@ -444,15 +459,26 @@ def _crowds(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     edges = edges.unionAll(star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b")))
     edges = materialize(edges, "links")
 
-    roots = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(edges)), "roots")
-    own = profiles.select("profile", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("profile", F.coalesce("root", "rep").alias("root"))
-    rooted = materialize(entries.join(own, "profile"), "entries")
-    others = rooted.select("place", F.col("profile").alias("other"), F.col("m").alias("k"), F.col("c").alias("d"), F.col("root").alias("other_root"), F.col("rep").alias("other_rep"))
-    # the rows of one root alone ask nothing, but for profiles with sets that are too large for the smallest of them
+    own_groups = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for turn in range(STAR_ROUNDS):  # what is still apart, against some more centers of its rows
+        rooted = _rooted(entries, profiles, own_groups.unionAll(edges))
+        name = F.xxhash64("profile", F.lit(turn))
+        centers = rooted.groupBy("place", F.pmod(name, F.lit(CENTERS)).alias("salt")).agg(F.min(F.struct(name.alias("by"), "profile", "m", "c", "rep", "root")).alias("to"))
+        centers = centers.select("place", F.col("to.profile").alias("other"), F.col("to.m").alias("k"), F.col("to.c").alias("d"), F.col("to.rep").alias("center"), F.col("to.root").alias("other_root"))
+        star = rooted.join(small(materialize(centers, "centers"), 80), "place").where((F.col("root") != F.col("other_root")) & may)
+        star = overlaps(materialize(star.select("profile", "other", "m", "k", "rep", "center").distinct(), "star"))
+        more = star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b"))
+        edges = edges.unionAll(materialize(more, "links"))
+    rooted = _rooted(entries, profiles, own_groups.unionAll(edges))
+    # rows of one root ask nothing, but for profiles with sets that are too large for the smallest of them; a pair meets in
+    # the first place that both have
     mixed = rooted.groupBy("place").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("left").alias("any")).where("first != last or any").select("place")
-    apart = rooted.join(mixed, "place").join(others, "place").where(F.col("profile") != F.col("other")).where(may)
-    apart = apart.where(((F.col("root") != F.col("other_root")) & (F.col("rep") < F.col("other_rep"))) | (F.col("left") & (F.col("k") < F.col("m"))))
-    pairs = overlaps(materialize(apart.select("profile", "other", "m", "k", "rep", "other_rep", "left").distinct(), "apart"))
+    rooted = rooted.join(mixed, "place").join(early.select("profile", "early"), "profile")
+    others = rooted.select("place", F.col("profile").alias("other"), F.col("m").alias("k"), F.col("c").alias("d"), F.col("root").alias("other_root"), F.col("rep").alias("other_rep"), F.col("early").alias("other_early"))
+    asks = ((F.col("root") != F.col("other_root")) & (F.col("rep") < F.col("other_rep"))) | (F.col("left") & (F.col("k") < F.col("m")))
+    meets = F.get(F.array_intersect("early", "other_early"), F.lit(0)) == F.col("place")
+    apart = rooted.join(others, "place").where((F.col("profile") != F.col("other")) & may & asks & meets)
+    pairs = overlaps(materialize(apart.select("profile", "other", "m", "k", "rep", "other_rep", "left"), "apart"))
     pairs = materialize(pairs, "overlaps")
     edges = edges.unionAll(pairs.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")))
     reach = pairs.where("left").groupBy("profile").agg(F.max(F.struct((7 * F.col("shared") - 3 * F.col("k")).alias("reach"), "other_rep")).alias("best"))
@@ -474,7 +500,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(LEAST_RANGES, total // 4 // RANGE_ENTRIES)
     held = materialize(docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(ranges, listed), _HELD_SQL), "prefixes")
     rows = held.where("range is not null").select("range", "held", "blob").groupBy("range").applyInPandas(_matrix, _ROWS)
-    rows = materialize(rows.groupBy("row").agg(F.first("node").alias("node"), F.first("n").alias("n")), "rows")
+    rows = materialize(rows.groupBy("row").agg(F.sum("tokens").alias("tokens"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("more").alias("more")), "rows")
     crowd = held.where("range is null").groupBy("node").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("places").alias("places"))
     crowd = materialize(crowd, "crowd")
 
@@ -485,16 +511,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # rows by group: sets query the larger groups of their rows
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(short.alias("s"), "root", "size")
-    entry = rows.select("row", F.explode(F.arrays_zip("node", "n")).alias("e")).select("row", F.col("e.node").alias("s"), "e.n")
-    named = nodes.select(short.alias("s"), "node")
-    entry = entry.join(named, "s").join(small(materialize(sized, "grouped"), 48), "s", "left")
-    entry = materialize(entry.select("row", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")), "row-entries")
-    held_by = entry.groupBy("row", F.col("root").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("of"))
+    root = F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long")
+    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(short.alias("s"), root.alias("root"), "size").dropDuplicates(["s"])
+    entry = rows.select("row", "tokens", F.explode(F.arrays_zip("node", "n", "more")).alias("e")).select("row", "tokens", F.col("e.node").alias("s"), "e.n", "e.more")
+    entry = entry.join(small(materialize(sized, "grouped"), 48), "s", "left").select("row", "tokens", "s", "n", "more", F.coalesce("root", "s").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    entry = materialize(entry, "row-entries")
+    held_by = entry.groupBy("row", F.col("root").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("of"), F.min("more").alias("least"))
     fits = (100 * F.col("n") >= PERCENT * F.col("lo")) & (PERCENT * F.col("n") <= 100 * F.col("hi"))
     larger = (F.col("of") > F.col("size")) | ((F.col("of") == F.col("size")) & (F.col("group") > F.col("root")))
-    pair = entry.join(held_by, "row").where(larger & fits).select("node", "group").distinct()
-    pair = materialize(pair, "pairs")
+    pair = entry.join(held_by, "row").where(larger & fits).groupBy("s", "group").agg(F.sum("tokens").alias("shared"), F.min(F.least("more", "least")).alias("more"))
+    # the bound: what a query and a group share of their first tokens
+    pair = materialize(pair.where(F.col("shared") > F.col("more")).select("s", F.col("group").alias("of")), "pairs")
+    named = nodes.select(short.alias("s"), "node")
+    pair = pair.join(named, "s").select("node", F.col("of").alias("s"))
+    pair = materialize(pair.join(named.withColumnRenamed("node", "group"), "s").select("node", "group"), "queries")
 
     wanted = pair.select(F.col("group").alias("root")).distinct()
     in_groups = groups.join(wanted, "root", "left_semi").select("node", "root")
