@@ -45,7 +45,7 @@ N = 5
 PERCENT = 75
 HASHES, BANDS = 12, 6
 #: Frequent tokens that the order knows, and the repeats that a token needs for the list.
-LISTED, REPEATS = 1 << 20, 6
+LISTED, REPEATS = 1 << 20, 3
 #: Tokens that a task remembers while it looks for repeats.
 REMEMBERED_BITS = 21
 #: Entries that one block holds, and that one task of the matrix gets.
@@ -54,8 +54,8 @@ BLOCK_ENTRIES, RANGE_ENTRIES, LEAST_RANGES = 1 << 18, 1 << 19, 16
 TOKEN_BITS = 40
 #: A set holds an n-th part of its tokens more than it needs to share one with a partner; it then shares so many more.
 MORE = 8
-#: Turns of comparing what is apart with several centers of a row, and these centers.
-STAR_ROUNDS, CENTERS = 2, 8
+#: Centers of a row of profiles, beside its smallest.
+CENTERS = 8
 #: Sets opened by one task.
 GROUP_SETS = 256
 #: Routed texts that one call of a kernel gets, on average.
@@ -246,7 +246,7 @@ def _block(ranges: int, token: np.ndarray, owner: np.ndarray, node: np.ndarray,
     out = []
     for r in np.flatnonzero(np.diff(cut)).tolist():
         own, local = np.unique(owner[cut[r] : cut[r + 1]], return_inverse=True)
-        out.append((r, pack(node[own], n[own].astype(_U), more[own].astype(_U)), pack(token[cut[r] : cut[r + 1]], local.astype(_U))))
+        out.append((r, pack(node[own], n[own].astype(_U), more[own].astype(_U)), pack(np.diff(token[cut[r] : cut[r + 1]], prepend=_U(0)), local.astype(_U))))
     none = [pa.nulls(len(out), t) for t in _HELD.types[3:]]
     return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], _HELD.types[k]) for k in range(3)), *none], schema=_HELD)
 
@@ -313,7 +313,7 @@ def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
     token, owner, held, base = [], [], [], 0
     for own, blob in zip(pdf["held"], pdf["blob"], strict=True):
         t, o = unpack(blob, 2)
-        token.append(t)
+        token.append(np.cumsum(t, dtype=_U))
         owner.append(o.astype(np.int64) + base)
         held.append(unpack(own, 3))
         base += len(held[-1][0])
@@ -423,67 +423,64 @@ def _enough(shared, n, m):
     return 7 * shared >= 3 * (n + m)
 
 
-def _rooted(entries: DataFrame, profiles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entries with the root of their profile's smallest set."""
-    roots = materialize(components(edges), "roots")
-    own = profiles.select("profile", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("profile", F.coalesce("root", "rep").alias("root"))
-    return materialize(entries.join(own, "profile"), "entries")
-
-
-def _crowds(crowd: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges between crowded sets by what their profiles share. crowd: node, n, profile, places."""
+def _crowds(crowd: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups that are joined by what profiles share, and edges between them. crowd: node, n, profile, places."""
     by_profile = crowd.groupBy("profile").agg(F.min(F.struct("n", "node")).alias("least"), F.max("n").alias("widest"), F.count(F.lit(1)).alias("count"), F.first("places").alias("places"))
     size = F.size("places")
-    by_profile = by_profile.select("profile", F.col("least.n").alias("m"), F.col("least.node").alias("rep"), size.alias("c"), "places", ((F.col("count") > 1) & ~_enough(size, F.col("widest"), F.col("least.n"))).alias("left"))
+    left = (F.col("count") > 1) & ~_enough(size, F.col("widest"), F.col("least.n"))
+    by_profile = by_profile.select("profile", F.col("least.n").alias("m"), F.col("least.node").alias("rep"), size.alias("c"), "places", left.alias("left"))
     profiles = materialize(by_profile, "profiles")
-    count = profiles.count()
+    count, places = profiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not count:
+        return groups, known
     behind = crowd.select("node", "n", "profile").join(small(profiles.select("profile", "m", "rep", "c"), 64, count), "profile").where("node != rep")
     behind = materialize(behind, "behind")
     edges = behind.where(_enough(F.col("c"), F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
     least = F.floor((PERCENT * F.col("m") + 99) / 100).cast("int")
-    early = profiles.select("profile", "m", "c", "rep", "left", F.slice("places", 1, F.col("c") - least + 1).alias("early"))
-    entries = materialize(early.select("profile", "m", "c", "rep", "left", F.explode("early").alias("place")), "entries")
-    side = profiles.select("profile", "places")
+    first = profiles.select("profile", "m", "c", "rep", "left", F.slice("places", 1, F.col("c") - least + 1).alias("early"))
+    held = small(profiles.select("profile", "places"), 1, 64 * count + 4 * places)
+    others = small(profiles.select(F.col("profile").alias("other"), F.col("places").alias("others")), 1, 64 * count + 4 * places)
 
     def overlaps(pairs: DataFrame) -> DataFrame:
         """pairs (profile, other, ...) with what they share."""
-        both = pairs.join(side, "profile").join(side.select(F.col("profile").alias("other"), F.col("places").alias("others")), "other")
+        both = pairs.join(held, "profile").join(others, "other")
         return both.withColumn("shared", F.size(F.array_intersect("places", "others"))).drop("places", "others")
 
+    def rooted(roots: DataFrame) -> DataFrame:
+        """First places with the root of their profile's smallest set."""
+        own = first.join(roots, F.col("rep") == F.col("node"), "left").select("profile", "m", "c", "rep", "left", F.coalesce("root", "rep").alias("root"), "early")
+        return materialize(own, "rooted")
+
+    # a row's smallest profile and some more are its centers: entries apart from a center are held against it
     may = _enough(F.least("c", "d"), F.col("m"), F.col("k"))
-    centers = entries.groupBy("place").agg(F.min(F.struct("m", "profile", "c", "rep")).alias("to"))
-    centers = centers.select("place", F.col("to.profile").alias("other"), F.col("to.m").alias("k"), F.col("to.c").alias("d"), F.col("to.rep").alias("center"))
-    star = entries.join(small(materialize(centers, "centers"), 64), "place").where(F.col("profile") != F.col("other")).where(may)
+    entries = rooted(groups).select("profile", "m", "c", "rep", "root", F.explode("early").alias("place"))
+    entries = materialize(entries, "entries")
+    by = F.when(F.col("salt") < CENTERS, F.xxhash64("profile")).otherwise(F.col("m"))
+    salted = entries.withColumn("salt", F.explode(F.array(F.pmod(F.xxhash64("profile"), F.lit(CENTERS)), F.lit(CENTERS))))
+    centers = salted.groupBy("place", "salt").agg(F.min(F.struct(by.alias("by"), "profile", "m", "c", "rep", "root")).alias("to"))
+    centers = centers.select("place", F.col("to.profile").alias("other"), F.col("to.m").alias("k"), F.col("to.c").alias("d"), F.col("to.rep").alias("center"), F.col("to.root").alias("other_root")).distinct()
+    star = entries.join(small(materialize(centers, "centers"), 96), "place").where((F.col("root") != F.col("other_root")) & may)
     star = overlaps(materialize(star.select("profile", "other", "m", "k", "rep", "center").distinct(), "star"))
-    edges = edges.unionAll(star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b")))
-    edges = materialize(edges, "links")
-
-    own_groups = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for turn in range(STAR_ROUNDS):  # what is still apart, against some more centers of its rows
-        rooted = _rooted(entries, profiles, own_groups.unionAll(edges))
-        name = F.xxhash64("profile", F.lit(turn))
-        centers = rooted.groupBy("place", F.pmod(name, F.lit(CENTERS)).alias("salt")).agg(F.min(F.struct(name.alias("by"), "profile", "m", "c", "rep", "root")).alias("to"))
-        centers = centers.select("place", F.col("to.profile").alias("other"), F.col("to.m").alias("k"), F.col("to.c").alias("d"), F.col("to.rep").alias("center"), F.col("to.root").alias("other_root"))
-        star = rooted.join(small(materialize(centers, "centers"), 80), "place").where((F.col("root") != F.col("other_root")) & may)
-        star = overlaps(materialize(star.select("profile", "other", "m", "k", "rep", "center").distinct(), "star"))
-        more = star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b"))
-        edges = edges.unionAll(materialize(more, "links"))
-    rooted = _rooted(entries, profiles, own_groups.unionAll(edges))
+    star = star.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("center").alias("b"))
+    groups = materialize(components(known.unionAll(edges).unionAll(star)), "groups")
+
     # rows of one root ask nothing, but for profiles with sets that are too large for the smallest of them; a pair meets in
     # the first place that both have
-    mixed = rooted.groupBy("place").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("left").alias("any")).where("first != last or any").select("place")
-    rooted = rooted.join(mixed, "place").join(early.select("profile", "early"), "profile")
-    others = rooted.select("place", F.col("profile").alias("other"), F.col("m").alias("k"), F.col("c").alias("d"), F.col("root").alias("other_root"), F.col("rep").alias("other_rep"), F.col("early").alias("other_early"))
+    entries = rooted(groups).select("*", F.explode("early").alias("place"))
+    mixed = entries.groupBy("place").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("left").alias("any")).where("first != last or any").select("place")
+    entries = materialize(entries.join(small(mixed, 16, places), "place"), "entries")
+    others_ = entries.select("place", F.col("profile").alias("other"), F.col("m").alias("k"), F.col("c").alias("d"), F.col("root").alias("other_root"), F.col("rep").alias("other_rep"), F.col("early").alias("other_early"))
     asks = ((F.col("root") != F.col("other_root")) & (F.col("rep") < F.col("other_rep"))) | (F.col("left") & (F.col("k") < F.col("m")))
     meets = F.get(F.array_intersect("early", "other_early"), F.lit(0)) == F.col("place")
-    apart = rooted.join(others, "place").where((F.col("profile") != F.col("other")) & may & asks & meets)
+    apart = entries.join(others_, "place").where((F.col("profile") != F.col("other")) & may & asks & meets)
     pairs = overlaps(materialize(apart.select("profile", "other", "m", "k", "rep", "other_rep", "left"), "apart"))
     pairs = materialize(pairs, "overlaps")
-    edges = edges.unionAll(pairs.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")))
+    edges = pairs.where(_enough(F.col("shared"), F.col("m"), F.col("k"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b"))
     reach = pairs.where("left").groupBy("profile").agg(F.max(F.struct((7 * F.col("shared") - 3 * F.col("k")).alias("reach"), "other_rep")).alias("best"))
-    late = behind.join(reach, "profile").where(3 * F.col("n") <= F.col("best.reach"))
-    return edges.unionAll(late.select(F.col("node").alias("a"), F.col("best.other_rep").alias("b")))
+    late = behind.join(reach, "profile").where(3 * F.col("n") <= F.col("best.reach")).select(F.col("node").alias("a"), F.col("best.other_rep").alias("b"))
+    return groups, groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(materialize(edges.unionAll(late), "links"))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -505,9 +502,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = materialize(crowd, "crowd")
 
     groups = materialize(components(_stars(docs, nodes)), "groups")
-    near = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    near = materialize(near.unionAll(_crowds(crowd, groups)), "links")
-    groups = materialize(components(near), "groups")
+    groups, near = _crowds(crowd, groups)
 
     # rows by group: sets query the larger groups of their rows
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
