@@ -3,14 +3,15 @@
 The lengths' histogram (at most ``capacity`` rows) is all that reaches the driver. There a configuration linear program
 is solved: a configuration is a multiset of lengths that fits one sequence, and every length must be covered as often as
 it occurs. Multiplicative weights price the lengths (covered lengths get cheaper), an unbounded-knapsack dynamic program
-finds the best configuration at these prices, and the solution is rounded down. What rounding leaves over is placed by
-best fit, decreasing, first into the room that rounded configurations have left, in batches of equal bins.
+finds the best configuration at these prices, and its use is rounded down to whole sequences. Rounds go on until
+configurations hold ``COVERED`` of all tokens; what is left is placed by best fit, decreasing, first into the room that
+the configurations have, in batches of equal bins.
 
 The plan then goes back to the pieces: each piece is numbered among the pieces of its length (local number plus the
 count in earlier partitions, so a very common length needs no single task) and looks its place up.
 
-Null text is an empty document: one piece that holds the end id alone. Repeated rows are packed as often as they occur.
-An empty table gives an empty result. Other columns do not matter.
+Null text is an empty document: one piece that holds the end id alone. Very long texts are cut into pieces, never
+shortened. Repeated rows are packed as often as they occur; pieces of equal length may change places. An empty table gives an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker keeps at a time.
 CACHED_WORDS = 700_000
-ROUNDS = 300
+#: Classes of lengths for pricing, the weights' rate, the most of a length that one step covers, and the share of the
+#: tokens that configurations hold.
+CLASSES, ETA, STEP, COVERED = 256, 4.0, 0.25, 0.97
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
@@ -113,46 +116,78 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack: the multiset of lengths of greatest price that fits. prices[s] <= 0: length not wanted."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    value = np.where(prices > 0, prices, -np.inf)
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> list[int]:
+    """Unbounded knapsack: the multiset of items (their numbers) of greatest price that fits."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    least = int(sizes.min())
+    order = np.argsort(sizes, kind="stable")
+    prices, sizes = prices[order], sizes[order]
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        total = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        s = int(total.argmax())
-        if total[s] > best[c - 1]:
-            best[c], took[c] = total[s], s + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = Counter(), capacity
+        best[c] = best[c - 1]
+        if c >= least:
+            k = upto[c]
+            total = best[c - sizes[:k]]
+            total += prices[:k]
+            i = int(total.argmax())
+            if total[i] > best[c]:
+                best[c], took[c] = total[i], i
+    out, c = [], capacity
     while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= int(took[c])
-        else:
+        if took[c] < 0:
             c -= 1
+        else:
+            out.append(int(order[took[c]]))
+            c -= int(sizes[took[c]])
     return out
 
 
-def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations and how often each is used, by multiplicative weights; covers every count."""
-    sizes = np.flatnonzero(counts)
-    covered, used = np.zeros(len(counts)), defaultdict(float)
-    weight = np.zeros(len(counts))
-    weight[sizes] = sizes / capacity
-    eta = 4.0
-    for _ in range(rounds):
-        open_ = (counts > 0) & (covered < 1)
-        if not open_.any():
-            break
-        prices = np.where(open_, weight * np.exp(-eta * covered), 0.0)
-        config = best_configuration(prices, capacity)
-        # as often as the scarcest of its lengths allows, and so that no length is covered by more than a tenth at once
-        step = min(min(counts[s] * min(1 - covered[s], 0.1) / a for s, a in config.items()), counts.sum())
-        step = max(step, min(1.0, *(counts[s] / a for s, a in config.items())))
-        used[tuple(sorted(config.items(), reverse=True))] += step
+def cover(counts: np.ndarray, capacity: int, share: float = COVERED) -> dict[tuple, int]:
+    """Configurations and how often each is used: whole sequences that hold ``share`` of the tokens or more.
+
+    The covering program min sum(x), sum of x over configurations times their pieces >= counts, by multiplicative weights:
+    a length's price is its size times exp(-ETA * the covered part of its class). Lengths are rounded up to classes of
+    capacity / CLASSES tokens for pricing; in the best configuration each class then stands for its length with most pieces
+    left, and the last one for the longest length with pieces left that still fits, so little of the sequence stays empty.
+    A step uses the configuration as often as it covers no more than STEP of any length, rounded down to whole sequences
+    (one at least). Every round covers some piece, so the rounds end.
+    """
+    left, used = counts.astype(np.int64).copy(), defaultdict(int)
+    width = -(-capacity // CLASSES)
+    lengths = np.arange(len(counts))
+    of = -(-lengths // width)
+    total = np.bincount(of, counts)
+    tokens, goal = int((lengths * left).sum()), (1 - share) * float((lengths * counts).sum())
+    while tokens > goal:
+        own = np.bincount(of, left)
+        open_ = np.flatnonzero(own)
+        prices = open_ * np.exp(-ETA * (1 - own[open_] / total[open_]))
+        config, room = Counter(), capacity
+        for k in sorted((int(open_[i]) for i in best_configuration(prices, open_, capacity // width)), reverse=True):
+            s = max(1, (k - 1) * width + 1)
+            rest = left[s : k * width + 1] - [config[x] for x in range(s, min(k * width, capacity) + 1)]
+            i = int(rest.argmax())
+            if rest[i] > 0 and s + i <= room:
+                config[s + i] += 1
+                room -= s + i
+        if config:  # the last length gives way to the longest that fits
+            last = min(config)
+            config[last] -= 1
+            room += last
+            config += Counter()
+        while room > 0:
+            fits = np.flatnonzero(left[: room + 1])[::-1]
+            s = next((int(x) for x in fits[: len(config) + 1] if left[x] > config[int(x)]), 0)
+            if not s:
+                break
+            config[s] += 1
+            room -= s
+        times = min(max(1, int(counts[s] * STEP) // a) if left[s] >= a else 0 for s, a in config.items())
+        times = min(times, *(int(left[s]) // a for s, a in config.items())) if times else 1
+        used[tuple(sorted(config.items(), reverse=True))] += times
         for s, a in config.items():
-            covered[s] += step * a / counts[s]
+            left[s] -= a * times
+            tokens -= a * times * s
     return dict(used)
 
 
@@ -160,12 +195,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, i
     """Runs (length, first rank, pieces, first sequence, pieces per sequence, first offset); one per length and group."""
     left = counts.astype(np.int64).copy()
     groups: list[tuple[dict[int, int], int]] = []  # lengths of a sequence, number of such sequences
-    for config, times in sorted(fractional_cover(left, capacity).items(), key=lambda x: -x[1]):
-        n = int(min([times * 0.98, *(left[s] // a for s, a in config)]))
-        if n > 0:
-            groups.append((dict(config), n))
-            for s, a in config:
-                left[s] -= a * n
+    for config, n in cover(left, capacity).items():
+        groups.append((dict(config), n))
+        for s, a in config:
+            left[s] -= a * n
     room: dict[int, list[int]] = defaultdict(list)  # free tokens -> groups
     for g, (config, _) in enumerate(groups):
         room[capacity - sum(s * a for s, a in config.items())].append(g)

@@ -38,6 +38,35 @@ def test_plan_is_whole_and_near_the_lower_bound():
         assert bins <= floor * 1.03 + 1
 
 
+def test_configurations_hold_nearly_all_tokens():
+    """Sparse and dense histograms at the full capacity: the program itself places the tokens, and wastes little room."""
+    rng = np.random.default_rng(4)
+    for pieces, times in ((300, 1), (10000, 1), (10000, 40)):
+        sizes = np.clip(rng.lognormal(6.3, 1.2, pieces).astype(int), 1, p.CAPACITY)
+        counts = np.bincount(sizes, minlength=p.CAPACITY + 1) * times
+        tokens = int((counts * np.arange(len(counts))).sum())
+        used = p.cover(counts, p.CAPACITY)
+        held = np.zeros_like(counts)
+        for config, n in used.items():
+            assert n > 0 and sum(s * a for s, a in config) <= p.CAPACITY
+            for s, a in config:
+                held[s] += a * n
+        assert (held <= counts).all() and (held * np.arange(len(counts))).sum() >= 0.9 * tokens
+        assert check_plan(counts, p.CAPACITY) <= -(-tokens // p.CAPACITY) * 1.001 + 1
+
+
+def test_best_configuration_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sizes = rng.choice(np.arange(1, 15), rng.integers(1, 6), replace=False)
+        prices, capacity = rng.random(len(sizes)) * sizes, int(rng.integers(1, 30))
+        best = np.zeros(capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *(best[c - s] + x for s, x in zip(sizes, prices, strict=True) if s <= c)])
+        got = p.best_configuration(prices, sizes, capacity)
+        assert sum(sizes[i] for i in got) <= capacity and abs(sum(prices[i] for i in got) - best[capacity]) < 1e-9
+
+
 def test_pieces_equal_brute_force(spark):
     texts = [None, "", " ", "Hello  World\n it's 42  é́ <|endoftext|>x don't y \x1c z", "word " * 9000, "a b c", "a b c", "ÅNGSTRÖM ﬁ İ Σς", "x" * 5000, "́ e ́", "H\u0331A T\u0308 W\u030a", "<|STARTOFTEXT|> A<|startoftext|>B <|EndOfText|>", "A<|b"]
     rows = [(i // 2, t, 1, 2, "clash") for i, t in enumerate(texts * 3)]
