@@ -3,8 +3,10 @@
 A word is a run of letters and digits, A-Z folded. Fixed masks over word positions make seeds: a mask's hash takes the
 words under its ones and ignores the rest, so a substituted word breaks only the seeds that look at it. Hashes of the
 training text are looked up among those of the benchmark; every hit fixes an alignment (document position minus item
-position), and the whole item is compared along it. A document leaks an item when, over its hit alignments, at least
-half of the item's words stand at their places (and no fewer than ``WEIGHT``), or 20 of them do.
+position), and the whole item is compared along it. A document leaks an item when one alignment has half of the item's words
+in place (and no fewer than ``WEIGHT``), or when a passage does: half of the item's words, or 20 of them, that lie within
+twice as many words of the document, in alignments that differ by little, each with four in place within eight. Words that
+meet here and there by chance are no passage.
 
 The masks are complete for that half: however the replaced words lie, an alignment that has so many words in place holds
 some mask, so no such alignment is missed. For the 20 words that suffice in an item of over 40, this holds only from half
@@ -12,12 +14,14 @@ of the item on; below that an alignment has to hold four words within eight to b
 
 Items of 4 to 6 words, which the least of ``WEIGHT`` words asks for whole, are held by whole-item comparison; shorter
 ones name no passage and match nothing. Null text has no words. Repeated items each report; repeated documents each
-report. The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each a separate pass over the documents, so
+report. Very long texts are compared whole. Ties need no rule: every pair of a document and an item is judged alone. The
+benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each a separate pass over the documents, so
 what is broadcast is bounded. Empty tables give an empty result. Other columns do not matter.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,9 @@ MASKS = (
     "1111", "11101", "111001", "1110001", "11100001", "11011", "110101", "1101001", "110011", "1100101", "1100011", "10111", "101101", "1011001", "101011", "1010101",
     "1010011", "10100011", "100111", "1001101", "1001011", "10010011", "1000111", "10001011",
 )
+SPAN = 8
+#: Alignments that a passage with inserted or lost words may take differ by this at most.
+BAND = 16
 WEIGHT = 7
 SHORT = (4, 5, 6)
 SHARE, ENOUGH = 0.5, 20
@@ -167,8 +174,18 @@ class Index:
         line, j, p = line[same], j[same], p[same]
         whole = (size >= WEIGHT) | (np.bincount(line, minlength=len(row)) == size)  # short items count whole only
         line, j, p = line[whole[line]], j[whole[line]], p[whole[line]]
+        need = np.maximum(SHARE * size, np.minimum(WEIGHT, size))
+        big = (np.bincount(line, minlength=len(row)) >= need)[line]
+        near = np.zeros(len(line), bool)  # four in place within eight
+        if len(line) > 3:
+            run = np.flatnonzero((line[3:] == line[:-3]) & (j[3:] - j[:-3] < SPAN))
+            for k in range(4):
+                near[run + k] = True
         first_line = np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)]
         pair, of = np.cumsum(first_line) - 1, np.flatnonzero(first_line)
+        least, width = np.minimum(need[of], ENOUGH), np.minimum(2 * size[of], 2 * ENOUGH)
+        counted = big | self._local(np.flatnonzero(near), pair[line], shift[line], j, p, least, width)
+        line, j, p = line[counted], j[counted], p[counted]
         row, item, size = row[of], item[of], size[of]
         base = np.cumsum(size) - size
         hit = np.zeros(int(size.sum()), bool)
@@ -176,9 +193,35 @@ class Index:
         n = np.add.reduceat(hit, base, dtype=np.int64)
         first = np.full(len(row), np.iinfo(np.int64).max)
         np.minimum.at(first, pair[line], p - at[row[pair[line]]])
-        for k in np.flatnonzero((n >= ENOUGH) | (n >= np.maximum(SHARE * size, np.minimum(WEIGHT, size)))):
+        for k in np.flatnonzero(n):
             yield int(row[k]), int(item[k]), int(n[k]), int(size[k]), int(first[k])
 
+    @staticmethod
+    def _local(own: np.ndarray, pair: np.ndarray, shift: np.ndarray, j: np.ndarray, p: np.ndarray, least: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Matches of pairs that have ``least`` different item words within ``width`` document words and a band of shifts."""
+        out = np.zeros(len(j), bool)
+        match = np.concatenate([own, own])  # bands overlap by half
+        band = np.concatenate([shift[own] // BAND, shift[own] // BAND - 1])
+        order = np.lexsort((p[match], band, pair[match]))
+        match, band = match[order], band[order]
+        of = pair[match]
+        begin = np.flatnonzero(np.r_[True, (np.diff(of) != 0) | (np.diff(band) != 0)][: len(of)])
+        ends = np.r_[begin[1:], len(of)]
+        for a, b in zip(begin, ends, strict=True):
+            if b - a < least[of[a]]:
+                continue
+            words_, places, held, lo = j[match[a:b]].tolist(), p[match[a:b]].tolist(), Counter(), 0
+            for hi, word in enumerate(words_):
+                held[word] += 1
+                while places[hi] - places[lo] >= width[of[a]]:
+                    held[words_[lo]] -= 1
+                    if not held[words_[lo]]:
+                        del held[words_[lo]]
+                    lo += 1
+                if len(held) >= least[of[a]]:
+                    out[match[a + lo : a + hi + 1]] = True
+        return out
+
 
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Index]:
     own = benchmark.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

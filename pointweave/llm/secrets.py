@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import let
+from pointweave.llm.common import let, materialize
 
 #: The patterns, by kind in listed order, and the group whose length counts with its least length.
 KINDS = ("assign", "access", "hex", "random")
@@ -138,7 +138,10 @@ def _band(length: Column) -> Column:
 
 def thresholds(df: DataFrame, text: str) -> dict[int, float]:
     """Least evidence per length band under Benjamini-Hochberg; from a histogram of at most 4 x 1601 rows."""
-    tokens = df.select(F.explode(_scan(F.col(text))["candidates"]).alias("c")).select("c.value")
+    return _limits(df.select(F.explode(_scan(F.col(text))["candidates"]).alias("c")).select("c.value"))
+
+
+def _limits(tokens: DataFrame) -> dict[int, float]:
     bins = tokens.select(_band(F.length("value")).alias("band"), F.least(F.floor(4 * F.greatest(_evidence(F.col("value")), F.lit(0.0))), F.lit(1600)).alias("bin"))
     found: dict[int, float] = {}
     rows = bins.groupBy("band", "bin").count().collect()
@@ -187,8 +190,8 @@ def _by_place(spans: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, the count of each kind, the digest of the pattern spans, and all spans as text."""
-    found = df.select(F.col(key).alias("doc_id"), _scan(F.col(text)).alias("s"))
-    limits = thresholds(df, text)
+    found = materialize(df.select(F.col(key).alias("doc_id"), _scan(F.col(text)).alias("s")), "spans")  # texts are read once
+    limits = _limits(found.select(F.explode("s.candidates").alias("c")).select("c.value"))
     found = found.select("doc_id", F.col("s.base").alias("base"), _random(F.col("s.candidates"), limits).alias("more"))
     of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
