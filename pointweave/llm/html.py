@@ -8,7 +8,7 @@ texts whose marginal is at least 1/2 are the page's main text. Potentials are co
 articles, nested in many ways); nothing is downloaded.
 
 Scripts, styles, titles, templates and form controls hold no text. A block is the text between two borders of block
-elements; ``br`` is white space. Character references are decoded, white space becomes one space, blocks are trimmed, empty
+elements, or up to ``hr``; ``br`` is white space. Very long pages are taken whole; a marginal of just 1/2 counts as content. Character references are decoded, white space becomes one space, blocks are trimmed, empty
 ones vanish, and the rest is joined by one line feed. Null html is empty: text "" and 0 characters. Rows that repeat are
 extracted row by row; other columns do not matter. An empty table gives an empty result.
 """
@@ -16,7 +16,6 @@ extracted row by row; other columns do not matter. An empty table gives an empty
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import random
 import re
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from pointweave.llm.common import lean_batches
 
 #: Element names by what they do to text.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "option", "button", "object", "noframes", "math", "canvas"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+RAW = {"script", "style", "title", "textarea", "template", "select", "option", "button"}
+WHOLE = {"html", "head", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = {
     "html", "head", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup",
@@ -109,8 +108,10 @@ class Page:
             elif name == "a":
                 in_link = not closing
             elif name not in BLOCKS:
-                if name in ("br", "hr"):
+                if name == "br":
                     run.append(" ")
+                elif name == "hr":
+                    close_run()
             elif closing:
                 close_run()
                 in_link = False
@@ -165,8 +166,8 @@ class TreeModel:
         kinds = {t for t, _, _ in edge}
         #: P(child | parent), by tag group; unknown tags behave like div
         self.edge = {t: [[(edge[t, a, b] + 0.5) / (edge[t, a, 0] + edge[t, a, 1] + 1) for b in (0, 1)] for a in (0, 1)] for t in kinds}
-        #: log odds of a node's features
-        self.evidence = {v: math.log((feature[(1, *v)] + 0.5) / (seen[1] + len(values)) * (seen[0] + len(values)) / (feature[(0, *v)] + 0.5)) for v in values}
+        #: log odds of a node's features; the elements that every page has once say nothing
+        self.evidence = {v: 0.0 if v[0] in WHOLE else math.log((feature[(1, *v)] + 0.5) / (seen[1] + len(values)) * (seen[0] + len(values)) / (feature[(0, *v)] + 0.5)) for v in values}
         self.default = self.edge.get("div", [[0.5, 0.5], [0.5, 0.5]])
         self.root = math.log(0.5)
 
@@ -247,7 +248,15 @@ def labelled_pages(n: int = 400, seed: int = 20) -> Iterator[str]:
         return f'<div data-y="0" class="{rng.choice(["social share", "related", "sidebar", "pagination", "tags"])}">{say(0, 4)} {" ".join(link() for _ in range(4))}</div>'
 
     def paragraph() -> str:
-        kind = rng.randrange(12)
+        kind = rng.randrange(16)
+        if kind == 12:
+            return f"<div>{say(4, 90)}</div>"
+        if kind == 13:
+            return f"<div><p>{say(3, 60)}</p><p>{say(8, 120)}</p></div>"
+        if kind == 14:
+            return f"<section><h2>{say(1, 6)}</h2><div><p>{say(3, 80)}</p></div></section>"
+        if kind == 15:
+            return say(5, 60) + rng.choice(["<hr>", "<br>", ""])
         if kind == 0:
             return f"<h{rng.randint(2, 4)}>{say(1, 8)}</h2>"
         if kind == 1:
@@ -269,6 +278,16 @@ def labelled_pages(n: int = 400, seed: int = 20) -> Iterator[str]:
         head = rng.choice([f"<h1>{say(2, 9)}</h1>", f"<h1>{say(2, 9)}</h1><p>{say(4, 20)}</p>", ""])
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
         name = named(True, "content", "post", "article-body", "entry-content", "story") if tag in ("div", "section") else named(False, "post", "entry") if rng.random() < 0.4 else ""
+        layout = rng.random()
+        if layout < 0.15:  # no element holds the article but the body
+            before, after = ("".join(junk() for _ in range(rng.randint(0, 2))) for _ in range(2))
+            yield f'<html><head><title>{say(1, 5)}</title></head><body data-y="1">{before}{head}{body}{after}</body></html>'
+            continue
+        if layout < 0.35:
+            inner = rng.choice(["div", "section"])
+            body = f"<{inner}>{body}</{inner}>"
+            if rng.random() < 0.5:
+                body = f"<div>{body}</div>"
         body = f'<{tag} data-y="1"{name}>{head}{body}</{tag}>'
         for _ in range(rng.randint(0, 2)):
             if rng.random() < 0.5:
@@ -283,20 +302,6 @@ def trained() -> TreeModel:
     return TreeModel([Page(p) for p in labelled_pages()])
 
 
-def brute_force(model: TreeModel, page: Page) -> list[float]:
-    """Marginals by enumeration, for tests."""
-    total = [[0.0, 0.0] for _ in page.parent]
-    for ys in itertools.product((0, 1), repeat=len(page.parent)):
-        p = math.exp(model.root) if ys[0] else 1.0
-        for i, y in enumerate(ys):
-            p *= math.exp(model.node(page.tag[i], page.words[i])) if y else 1.0
-            if i:
-                p *= model.edge.get(page.tag[i], model.default)[ys[page.parent[i]]][y]
-        for i, y in enumerate(ys):
-            total[i][y] += p
-    return [math.log(b / a) for a, b in total]
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = trained()
     for batch in batches:

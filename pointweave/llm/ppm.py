@@ -7,8 +7,10 @@ shortest wins. ``score`` is the winner's posterior under equal priors, from the
 (times ``SHARPNESS``), so it does not saturate with length alone.
 
 Trees learn from at most ``SAMPLE_DOCS`` documents a language and ``SAMPLE_BYTES`` bytes each language, whole documents
-chosen by hash among rows with text and language; each tree keeps its ``MOST_CONTEXTS`` most frequent contexts of
-the highest order.
+chosen by hash among rows with text and language (one document at least, however long); each tree keeps its
+``MOST_CONTEXTS`` most frequent contexts of the highest order. Of more than ``MOST_LANGUAGES`` languages the rarer ones are
+not learned and never predicted: this bounds the labelled rows, and with them the tables, which grow with the square of the
+languages. Texts are scored whole, whatever their length; of languages with equal code lengths the first by name wins.
 
 Null text, or text without a letter: ``und``, score 0. If nothing can be learned, every text is ``und``. Rows that share a
 doc_id are predicted row by row. Other columns do not matter. An empty table gives an empty result.
@@ -160,7 +162,7 @@ def learn(df: DataFrame, text: str, lang: str, key: str) -> Trees | None:
     size: dict[str, int] = {}
     for r in sorted(picked.toLocalIterator(), key=lambda r: r["h"]):
         own = r["text"].encode()
-        if size.get(r["lang"], 0) + len(own) <= 2 * SAMPLE_BYTES:
+        if r["lang"] not in texts or size[r["lang"]] + len(own) <= 2 * SAMPLE_BYTES:
             texts.setdefault(r["lang"], []).append(own)
             size[r["lang"]] = size.get(r["lang"], 0) + len(own)
     return Trees(texts) if texts else None

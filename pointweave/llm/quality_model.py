@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Logistic | None:
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))))
     picked = materialize(picked, "labels")
     x, y, size = [], [], 0
-    for r in docs.join(small(picked, 24), "doc_id").select("text", "good").toLocalIterator():  # about SAMPLE rows
+    own = docs.join(small(picked, 24), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")  # the same rows in every run
+    for r in own.select("text", "good").toLocalIterator():  # about SAMPLE rows
         raw = (r["text"] or "").encode()
         size += len(raw)
         if size > SAMPLE_BYTES and len(x) >= 200:
@@ -139,9 +140,12 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", host: str = "
     overall = (t[1] or 0.0) / t[0] if t[0] else 0.5
     hosts = _shrunk(hosts, F.lit(overall), _strength(hosts)).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    paths = _shrunk(paths, F.col("host_rate"), _strength(paths)).select("h", F.col("path").alias("p"), "host_rate", F.col("rate").alias("path_rate"))
+    strength = _strength(paths)
+    paths = _shrunk(paths, F.col("host_rate"), strength).select("h", F.col("path").alias("p"), "host_rate", F.col("rate").alias("path_rate"), F.col("n").alias("of"), F.col("good").alias("among"))
     paths = small(materialize(paths, "rates"), 80)
     out = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    rate = F.greatest(F.least(F.col("path_rate"), F.lit(RATE_BOUNDS[1])), F.lit(RATE_BOUNDS[0]))
+    # what a document says itself counts once: its own place's rate is taken over the others there
+    others = (F.col("among") - good + strength * F.col("host_rate")) / (F.col("of") - 1 + strength)
+    rate = F.greatest(F.least(others, F.lit(RATE_BOUNDS[1])), F.lit(RATE_BOUNDS[0]))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= THRESHOLD).alias("kept"))

@@ -327,6 +327,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     made = docs.mapInArrow(_chunks, "chunk long, ids binary, sizes binary, data binary")
     made.write.bucketBy(buckets, "chunk").format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/pointweave/{name}").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the plan holds the bucketed files, which stay
 
     asked = chunks.mapInArrow(_ask_anchors(ranges), _BLOCKS)
     first = materialize(asked.groupBy("range").applyInPandas(lambda pdf: _answer(pdf, 3, 1, _rerank_anchors), _ANSWERS), "answers")

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 from pointweave.llm import html as h
@@ -13,6 +14,20 @@ PAGE = """<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><s
 WANT = "The head & line\nFirst para with bold and a break, which is long enough to be read.\nSecond <para> © 2020 without an end\none thing\nanother thing"
 
 
+def brute_force(model, page):
+    """Marginals by enumeration."""
+    total = [[0.0, 0.0] for _ in page.parent]
+    for ys in itertools.product((0, 1), repeat=len(page.parent)):
+        p = math.exp(model.root) if ys[0] else 1.0
+        for i, y in enumerate(ys):
+            p *= math.exp(model.node(page.tag[i], page.words[i])) if y else 1.0
+            if i:
+                p *= model.edge.get(page.tag[i], model.default)[ys[page.parent[i]]][y]
+        for i, y in enumerate(ys):
+            total[i][y] += p
+    return [math.log(b / a) for a, b in total]
+
+
 def test_page():
     assert h.trained().extract(PAGE) == WANT
 
@@ -21,7 +36,7 @@ def test_messages_equal_enumeration():
     model = h.trained()
     for html in ("<p>x</p>", "<div><p>one</p><ul><li><a>two</a></li></ul></div>", '<article class="post"><h1>a</h1><aside>b<p>c</p></aside></article>', "<foo>text</foo>", ""):
         page = h.Page(html)
-        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(model.marginals(page), h.brute_force(model, page), strict=True))
+        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(model.marginals(page), brute_force(model, page), strict=True))
 
 
 def test_held_out_pages():
@@ -35,6 +50,25 @@ def test_held_out_pages():
     assert right >= 0.98 * total > 1000
 
 
+def test_layouts_that_training_does_not_hold():
+    """Each layout by hand: the text that has to come out, whatever stands around it."""
+    a, b = "One two three, four five six seven eight nine ten.", "Some more text goes on here, longer than the first line of it was, and then ends."
+    junk = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>', "<footer>&copy; some site</footer>"
+    layouts = {
+        f"<article><div>{a}</div></article>": a,
+        f"<main><div>{b}</div></main>": b,
+        f"<article><section><div><p>{a}</p><p>{b}</p></div></section></article>": f"{a}\n{b}",
+        f"<p>{a}</p><p>{b}</p>": f"{a}\n{b}",
+        f"<article>{a}<hr>{b}</article>": f"{a}\n{b}",
+        f"<div><div><div><p>{b}</p><p>{a}</p></div></div></div>": f"{b}\n{a}",
+        f'<div id="content">{a}<br>{b}</div>': f"{a} {b}",
+        f"<main><article><h1>Head</h1><dl><dt>{a}</dt><dd>{b}</dd></dl></article></main>": f"Head\n{a}\n{b}",
+    }
+    for body, want in layouts.items():
+        for before, after in (("", ""), junk):
+            assert h.trained().extract(f"<html><body>{before}{body}{after}</body></html>") == want
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<article><p>" + "deep text that goes on and on. " * 20 + "</p></article>" + "</div>" * 3000
     long = "<article>" + "<p>para of words &amp; more words here</p>" * 20000 + "</article>"

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pointweave.llm import quality_model as q
@@ -40,6 +41,40 @@ def test_shrinkage(spark):
     assert abs(rate["big"] - 118 / 1020) < 1e-9 and abs(rate["tiny"] - 18 / 21) < 1e-9
 
 
+def test_posteriors_equal_brute_force(spark):
+    rows, labels, _ = corpus(240)
+    rows += [(1000, "one lone page with a few words", "host9", "xx", "", 1)]
+    df, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = {r.doc_id: r for r in q.classify(df, marks).collect()}
+    prior = q.train(df.select("doc_id", "text"), marks.select("doc_id", q.F.col("quality").alias("good"))).prior
+    own = {r[0]: 1 / (1 + math.exp(-(got[r[0]].evidence + prior))) for r in rows}
+    place = {r[0]: (r[2], r[3]) for r in rows}
+
+    def totals(key):
+        out = {}
+        for i, x in own.items():
+            n, good = out.get(key(i), (0, 0.0))
+            out[key(i)] = n + 1, good + x
+        return out
+
+    def strength(places):
+        n, good = sum(a for a, _ in places), sum(b for _, b in places)
+        m = min(max(good / n, 1e-3), 1 - 1e-3)
+        spread = sum(b * b / a for a, b in places) / n - m * m - m * (1 - m) * (len(places) - 1) / n
+        return min(max(m * (1 - m) / max(spread, 1e-7) - 1, 5.0), 5000.0)
+
+    hosts, paths = totals(lambda i: place[i][0]), totals(lambda i: place[i])
+    by_host, by_path, overall = strength(hosts.values()), strength(paths.values()), sum(own.values()) / len(own)
+    for i, x in own.items():
+        n, good = hosts[place[i][0]]
+        host_rate = (good + by_host * overall) / (n + by_host)
+        n, good = paths[place[i]]
+        rate = min(max((good - x + by_path * host_rate) / (n - 1 + by_path), q.RATE_BOUNDS[0]), q.RATE_BOUNDS[1])
+        score = 1 / (1 + math.exp(-(got[i].evidence + math.log(rate / (1 - rate)))))
+        assert math.isclose(got[i].host_rate, host_rate, rel_tol=1e-9) and math.isclose(got[i].path_rate, (good + by_path * host_rate) / (n + by_path), rel_tol=1e-9)
+        assert math.isclose(got[i].score, score, rel_tol=1e-9) and got[i].kept == (score >= q.THRESHOLD)
+
+
 def test_edge_cases(spark):
     rows, labels, _ = corpus(120)
     odd = [(900, None, None, None, None, 1), (901, "", "host1", None, "", 1), (902, "x " * 50000, None, "en", "", 1), (902, "same id again with other words here", "new", "en", "", 1)]
