@@ -13,11 +13,12 @@ def base_classes(dsm: Raster, dsm2: Raster, dtm: Raster, labels: DataFrame, para
     """Class of every cell of the frame. labels: cells with v = 1 for object candidates. Later rules win over earlier ones:
     tree, building, ground."""
     f = dsm.frame
-    named = lambda c, n: c.select(*KEY, F.col("v").alias(n))
-    both = dsm.grid()
-    for cells, n in ((dsm.cells, "s"), (dsm2.cells, "s2"), (dtm.cells, "t"), (labels, "label")):
-        both = both.join(named(cells, n), KEY, "left")
-    both = both.fillna(0, ["s", "s2", "t", "label"])
+    layers = {"s": dsm.cells, "s2": dsm2.cells, "t": dtm.cells, "label": labels}
+    # one shuffle: each raster's cells carry their own column
+    both = dsm.grid().select(*KEY, *[F.lit(0).alias(n) for n in layers])
+    for name, cells in layers.items():
+        both = both.unionAll(cells.select(*KEY, *[(F.col("v").cast("int") if n == name else F.lit(0)).alias(n) for n in layers]))
+    both = both.groupBy(*KEY).agg(*[F.max(n).alias(n) for n in layers])
     apart = F.abs(F.col("s2") - F.col("t"))
     limit = int(params.max_tree_height / dtm.frame.scale)
     v = (

@@ -1,20 +1,21 @@
 """Neighbourhood operators.
 
-Every cell is sent to the cells whose window it is in (a fan-out by constant offsets), and windows are grouped. Counts and
-extremes combine before the shuffle; ranks collect at most (2r+1)^2 values. Windows are cut at the raster's edge; void cells
-are absent. Large square minima and maxima go by rows and then by columns.
+The fixed rules work on tiles whose halo is the rule's reach, so one shuffle of about the raster's own size gives exact
+results for a raster of any size. User rules are columns: there every cell is sent to the cells whose window it is in (a
+fan-out by constant offsets), and windows are grouped. Windows are cut at the raster's edge; void cells are absent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.operators.algebra import KEY
-from pointweave.plans.storage import store
-from pointweave.schema import BUILDING, TREE, Frame, Raster, SceneParams, f32, s16
+from pointweave.operators.tiles import around, on_windows
+from pointweave.schema import BUILDING, TREE, Frame, Raster, SceneParams, f32
 
 
 def fan_out(cells: DataFrame, frame: Frame, r: int, rows: bool = True, cols: bool = True) -> DataFrame:
@@ -43,73 +44,97 @@ def focal2(a: DataFrame, frame: Frame, r: int, aggregate: Column, name: str) ->
     return fan_out(a, frame, r).groupBy(*KEY).agg(aggregate.alias(name))
 
 
+#: More than any raw value.
+_NONE = 1 << 40
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    """16-bit signed reading of raw values."""
+    return np.where(v > 32767, v - 65536, v)
+
+
 def quantile(raster: Raster, r: int, q: float, threshold: int) -> Raster:
     """The window's q-quantile where it differs from the cell by more than the threshold (16-bit signed comparison)."""
     threshold &= 65535
+    share = f32(q)
 
-    def rule(ref: Column, window: Column) -> Column:
-        n = F.size(window)
-        k = F.least(F.floor(F.lit(float(f32(q))).cast("float") * n.cast("float")).cast("int"), n - 1)
-        value = F.get(window, k)
-        return F.when(F.abs(s16(value) - s16(ref)) > threshold, value).otherwise(ref)
+    def kernel(z: np.ndarray) -> np.ndarray:
+        window = np.sort(np.stack(list(around(np.where(z == 0, _NONE, z), r, _NONE))), axis=0)
+        n = (window < _NONE).sum(0)
+        k = np.clip(np.minimum(np.floor(share * n.astype(f32)).astype(np.int64), n - 1), 0, None)
+        value = np.take_along_axis(window, k[None], 0)[0]
+        return np.where(z == 0, 0, np.where(np.abs(_signed(value) - _signed(z)) > threshold, value, z))
 
-    return focal(raster, r, rule)
+    return raster.with_cells(on_windows({"z": raster.cells}, raster.frame, r, kernel))
 
 
 def median(raster: Raster, r: int, threshold: int) -> Raster:
     return quantile(raster, r, 0.5, threshold)
 
 
-def _square(raster: Raster, r: int, best) -> DataFrame:
-    """Extreme of each cell's window, as ``m``: along rows, then along columns."""
-    wide = fan_out(raster.cells, raster.frame, r, rows=False).groupBy(*KEY).agg(best("n.v").alias("v"))
-    return fan_out(wide, raster.frame, r, cols=False).groupBy(*KEY).agg(best("n.v").alias("m"))
+def _square(z: np.ndarray, r: int, best, outside: int) -> np.ndarray:
+    """Extreme of each cell's window: along rows, then along columns."""
+    for along in ({"rows": False}, {"cols": False}):
+        z = best.reduce(list(around(z, r, outside, **along)))
+    return z
 
 
 def minimum(raster: Raster, r: int, threshold: int) -> Raster:
     """The window's minimum where the cell is higher by more than the threshold."""
-    out = raster.cells.join(_square(raster, r, F.min), KEY)
-    return raster.with_cells(out.select(*KEY, F.when(F.col("v") > F.col("m") + (threshold & 65535), F.col("m")).otherwise(F.col("v")).alias("v")))
+    threshold &= 65535
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        m = _square(np.where(z == 0, _NONE, z), r, np.minimum, _NONE)
+        return np.where(z > m + threshold, m, z)
+
+    return raster.with_cells(on_windows({"z": raster.cells}, raster.frame, r, kernel))
 
 
 def maximum(raster: Raster, r: int, threshold: int) -> Raster:
     """The window's maximum where the cell is lower by more than the threshold."""
-    out = raster.cells.join(_square(raster, r, F.max), KEY)
-    return raster.with_cells(out.select(*KEY, F.when(F.col("v") + (threshold & 65535) < F.col("m"), F.col("m")).otherwise(F.col("v")).alias("v")))
+    threshold &= 65535
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        m = _square(z, r, np.maximum, 0)
+        return np.where((z != 0) & (z + threshold < m), m, z)
+
+    return raster.with_cells(on_windows({"z": raster.cells}, raster.frame, r, kernel))
 
 
 def edges(raster: Raster, threshold: int) -> Raster:
     """Void where some neighbour, voids among them as 0, differs by more than the threshold (16-bit signed)."""
-    f = raster.frame
-    pairs = fan_out(raster.cells, f, 1).select(*KEY, F.col("n.v").alias("x")).join(raster.cells, KEY)
-    stats = pairs.groupBy(*KEY, "v").agg(F.max(F.abs(s16(F.col("x")) - s16(F.col("v")))).alias("d"), F.count(F.lit(1)).alias("n"))
-    rows = F.when((F.col("row") == 0) | (F.col("row") == f.height - 1), 2 if f.height > 1 else 1).otherwise(3)
-    cols = F.when((F.col("col") == 0) | (F.col("col") == f.width - 1), 2 if f.width > 1 else 1).otherwise(3)
-    void_step = F.when(F.col("n") < rows * cols, F.abs(s16(F.col("v")))).otherwise(0)
-    return raster.with_cells(stats.where(F.greatest("d", void_step) <= (threshold & 65535)).select(*KEY, "v"))
+    threshold &= 65535
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        own = _signed(z)
+        steps = [np.where(x == -_NONE, 0, np.abs(x - own)) for x in around(own, 1, -_NONE)]
+        return np.where(np.maximum.reduce(steps) <= threshold, z, 0)
+
+    return raster.with_cells(on_windows({"z": raster.cells}, raster.frame, 1, kernel))
 
 
 def wells(raster: Raster, params: SceneParams) -> Raster:
     """Void where at least four neighbours are far above the cell."""
     limit = (params.max_tree_height * params.agl) ** 0.5 / float(f32(raster.frame.scale))
-    pairs = fan_out(raster.cells, raster.frame, 1).select(*KEY, F.col("n.v").alias("x")).join(raster.cells, KEY)
-    stats = pairs.groupBy(*KEY, "v").agg(F.count_if(F.col("x") > F.col("v") + F.lit(limit)).alias("n"))
-    return raster.with_cells(stats.where("n < 4").select(*KEY, "v"))
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        return np.where(sum((x > z + limit).astype(np.int64) for x in around(z, 1, 0)) < 4, z, 0)
+
+    return raster.with_cells(on_windows({"z": raster.cells}, raster.frame, 1, kernel))
 
 
 def tree_voids(dsm: Raster, low: Raster, params: SceneParams) -> Raster:
     """The surface without cells where first and last returns differ in the whole window, unless by more than a tree."""
-    from pointweave.operators.algebra import subtract
-
-    var = subtract(dsm, low)
+    ratio = f32(f32(low.frame.scale) / f32(dsm.frame.scale))
     limit = int(params.max_tree_height / float(f32(low.frame.scale)))
     threshold = dsm.frame.units(params.dz) & 65535
-    f = dsm.frame
-    apart = fan_out(var.cells.where(F.col("v") > threshold), f, 1).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    rows = F.when((F.col("row") == 0) | (F.col("row") == f.height - 1), 2 if f.height > 1 else 1).otherwise(3)
-    cols = F.when((F.col("col") == 0) | (F.col("col") == f.width - 1), 2 if f.width > 1 else 1).otherwise(3)
-    loose = apart.where(F.col("n") == rows * cols).join(var.cells, KEY, "left").where(F.coalesce("v", F.lit(0)) <= limit)
-    return dsm.with_cells(dsm.cells.join(loose.select(*KEY), KEY, "left_anti"))
+
+    def kernel(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+        apart = np.where(z == 0, 0, np.maximum((z.astype(f32) - ratio * o.astype(f32)).astype(np.int64), 0))
+        loose = (_square(apart, 1, np.minimum, _NONE) > threshold) & (apart <= limit)
+        return np.where(loose, 0, z)
+
+    return dsm.with_cells(on_windows({"z": dsm.cells, "o": low.cells}, dsm.frame, 1, kernel))
 
 
 def agl_median(raster: Raster, params: SceneParams) -> Raster:
@@ -156,18 +181,22 @@ def grow_buildings(classes: DataFrame, dsm: Raster, params: SceneParams, rounds:
     """Tree cells beside a building cell of about the same height become building, round by round."""
     reach = max(1, int(params.dh / dsm.frame.gsd))
     limit = dsm.frame.units(params.dz)
-    both = classes.join(dsm.cells.withColumnRenamed("v", "z"), KEY, "left").select(*KEY, "v", F.coalesce("z", F.lit(0)).alias("z"))
-    for _ in range(rounds):
-        houses = fan_out(both.where(F.col("v") == BUILDING), dsm.frame, reach).select(*KEY, F.col("n.z").alias("x"))
-        hit = both.where(F.col("v") == TREE).join(houses, KEY).where(F.abs(F.col("x") - F.col("z")) < limit).select(*KEY, F.lit(True).alias("hit")).distinct()
-        both = store(both.join(hit, KEY, "left").select(*KEY, F.when(F.col("hit"), BUILDING).otherwise(F.col("v")).alias("v"), "z"), "classes")
-    return both.select(*KEY, "v")
+
+    def kernel(v: np.ndarray, z: np.ndarray) -> np.ndarray:
+        for _ in range(rounds):
+            houses = around(np.where(v == BUILDING, z, -_NONE), reach, -_NONE)
+            v = np.where((v == TREE) & np.logical_or.reduce([np.abs(x - z) < limit for x in houses]), BUILDING, v)
+        return v
+
+    return on_windows({"v": classes, "z": dsm.cells}, dsm.frame, rounds * reach, kernel)
 
 
 def building_majority(classes: DataFrame, frame: Frame) -> DataFrame:
     """Cells whose window is at least half building become building (4 of 9)."""
-    houses = fan_out(classes.where(F.col("v") == BUILDING), frame, 1).groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"))
-    rows = F.when((F.col("row") == 0) | (F.col("row") == frame.height - 1), 2 if frame.height > 1 else 1).otherwise(3)
-    cols = F.when((F.col("col") == 0) | (F.col("col") == frame.width - 1), 2 if frame.width > 1 else 1).otherwise(3)
-    out = classes.join(houses, KEY, "left")
-    return out.select(*KEY, F.when(F.coalesce("k", F.lit(0)) >= F.floor(rows * cols / 2), BUILDING).otherwise(F.col("v")).alias("v"))
+
+    def kernel(v: np.ndarray) -> np.ndarray:
+        houses = sum(around((v == BUILDING).astype(np.int64), 1, 0))
+        cells = sum(around(np.ones_like(v), 1, 0))
+        return np.where((v != 0) & (houses >= cells // 2), BUILDING, v)
+
+    return on_windows({"v": classes}, frame, 1, kernel)

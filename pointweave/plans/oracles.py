@@ -135,9 +135,12 @@ fill2("dsm", "top_w")
 fill2("lowest", "low_q")
 step("varr", 'SELECT d."row", d.col, greatest(d.v - coalesce(m.v, 0), 0) AS v FROM dsm d LEFT JOIN lowest m ON d."row" = m."row" AND d.col = m.col')
 step("loose", f"""
-SELECT g."row", g.col FROM whole g LEFT JOIN varr o ON o."row" = g."row" AND o.col = g.col, fr
-WHERE coalesce(o.v, 0) <= CAST(trunc(40e0 / CAST(sc AS DOUBLE)) AS INTEGER) AND (g."row", g.col) NOT IN (
-  SELECT (n."row" + i, n.col + j) FROM (SELECT g2."row", g2.col FROM whole g2 LEFT JOIN varr w ON w."row" = g2."row" AND w.col = g2.col WHERE coalesce(w.v, 0) <= {units(1)}) n, off1)""")
+SELECT q."row", q.col FROM (
+  SELECT g."row", g.col FROM whole g LEFT JOIN varr o ON o."row" = g."row" AND o.col = g.col, fr WHERE coalesce(o.v, 0) <= CAST(trunc(40e0 / CAST(sc AS DOUBLE)) AS INTEGER)) q
+ANTI JOIN (
+  SELECT DISTINCT n."row" + i AS "row", n.col + j AS col
+  FROM (SELECT g2."row", g2.col FROM whole g2 LEFT JOIN varr w ON w."row" = g2."row" AND w.col = g2.col WHERE coalesce(w.v, 0) <= {units(1)}) n, off1) b
+ON q."row" = b."row" AND q.col = b.col""")
 step("dsm2", 'SELECT d.* FROM dsm d ANTI JOIN loose l ON d."row" = l."row" AND d.col = l.col')
 #: terrain from points of class 2, gridded like the surface, in the surface's scale
 step("ground", "SELECT * FROM pts WHERE classification = 2")
