@@ -43,7 +43,7 @@ class Bench:
     """The scene's points and the rasters of its chain, made on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.points = scene_points(spark, sf_dir)
+        self.points = store(scene_points(spark, sf_dir), "points")
 
     def __getattr__(self, name: str):
         made = {
