@@ -256,3 +256,26 @@ step("scored", """
 SELECT i, j, dx, dy, n, tz, es[CAST(floor(n * 0.67e0) AS INTEGER) + 1] AS rms, CAST(CAST(len(list_filter(es, lambda e: e < 1)) AS REAL) / CAST(400 AS REAL) AS REAL) AS completeness
 FROM (SELECT i, j, dx, dy, CAST(len(ds) AS INTEGER) AS n, tz, list_sort(list_transform(ds, lambda e: abs(e - tz))) AS es FROM (SELECT *, ds[len(ds) // 2 + 1] AS tz FROM meds))""")
 step("ranked", "SELECT * FROM scored ORDER BY rms, dx * dx + dy * dy, i, j LIMIT 1")
+
+#: the same chain for the aligner's defaults: the whole target, 100,000 draws, 10,000 valid samples, 10 m each way
+_JOB = ["tpts", "tfr", "tspl", "traw", "tsh0", "tsh1", "tsh2", "twhole", "tgrid1", "tl1", "tl2", "tf1", "tfill", "tedge", "box", "smp", "mov", "probe", "diff", "meds", "scored", "ranked"]
+for _name in _JOB:
+    step(f"all_{_name}", re.sub(rf"\b({'|'.join(_JOB)})\b", r"all_\1", STEPS[_name]))
+step("all_tpts", STEPS["all_tpts"].replace(" WHERE (point_id // 1000) % 2 = 0", ""))
+step("all_smp", STEPS["all_smp"].replace("range(0, 2000)", "range(0, 100000)"))
+step("all_mov", STEPS["all_mov"].replace("- 4", "- 10").replace("range(0, 9)", "range(0, 21)"))
+step("all_meds", "SELECT i, j, dx, dy, list_sort(arg_min(d, id, 10000)) AS ds FROM all_diff GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10000")
+step("all_scored", STEPS["all_scored"].replace("400", "10000"))
+step("around_best", """
+SELECT b.i, b.j, b.dx, b.dy, b.tz, b.rms AS c, b.completeness, coalesce(max(s.rms) FILTER (WHERE s.i = b.i + 1 AND s.j = b.j), 0) AS e, coalesce(max(s.rms) FILTER (WHERE s.i = b.i - 1 AND s.j = b.j), 0) AS w,
+  coalesce(max(s.rms) FILTER (WHERE s.i = b.i AND s.j = b.j + 1), 0) AS n, coalesce(max(s.rms) FILTER (WHERE s.i = b.i AND s.j = b.j - 1), 0) AS o,
+  coalesce(max(s.rms) FILTER (WHERE s.i = b.i + 1 AND s.j = b.j + 1), 0) AS en, coalesce(max(s.rms) FILTER (WHERE s.i = b.i + 1 AND s.j = b.j - 1), 0) AS eo,
+  coalesce(max(s.rms) FILTER (WHERE s.i = b.i - 1 AND s.j = b.j + 1), 0) AS wn, coalesce(max(s.rms) FILTER (WHERE s.i = b.i - 1 AND s.j = b.j - 1), 0) AS wo
+FROM all_ranked b, all_scored s GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+step("quadric", """
+SELECT *, CAST((e - w) / CAST(2 AS REAL) AS REAL) AS gx, CAST((n - o) / CAST(2 AS REAL) AS REAL) AS gy, CAST(CAST(e + w AS REAL) - CAST(2 * c AS REAL) AS REAL) AS xx, CAST(CAST(n + o AS REAL) - CAST(2 * c AS REAL) AS REAL) AS yy,
+  CAST(CAST(CAST(CAST(en - eo AS REAL) - wn AS REAL) + wo AS REAL) / CAST(4 AS REAL) AS REAL) AS xy FROM around_best""")
+step("peak", """
+SELECT *, CASE WHEN inside THEN CAST(CAST(-10 AS REAL) + CAST(i - CAST(CAST(CAST(yy * gx AS REAL) - CAST(xy * gy AS REAL) AS REAL) / det AS REAL) AS REAL) AS REAL) ELSE CAST(dx AS REAL) END AS px,
+  CASE WHEN inside THEN CAST(CAST(-10 AS REAL) + CAST(j - CAST(CAST(CAST(xx * gy AS REAL) - CAST(xy * gx AS REAL) AS REAL) / det AS REAL) AS REAL) AS REAL) ELSE CAST(dy AS REAL) END AS py
+FROM (SELECT *, det <> 0 AND i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 AS inside FROM (SELECT *, CAST(CAST(xx * yy AS REAL) - CAST(xy * xy AS REAL) AS REAL) AS det FROM quadric))""")

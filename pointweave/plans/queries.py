@@ -502,29 +502,29 @@ def _full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.scores(*(prepared(q, FULL_ALIGN) for q in _full_target(spark, sf_dir)), FULL_ALIGN)
 
 
-@query()
+@query("SELECT x0 AS xmin, x1 AS xmax, y0 AS ymin, y1 AS ymax FROM all_box")
 def align_full_overlap(spark, sf_dir):
     a, b = (grid.frame_of(grid.cloud_meta(q), FULL_ALIGN.gsd) for q in _full_target(spark, sf_dir))
     return spark.createDataFrame([align.overlap(a, b)], "xmin double, xmax double, ymin double, ymax double")
 
 
-@query()
+@query("SELECT * FROM all_scored")
 def align_full_scores(spark, sf_dir):
     return _full_scores(spark, sf_dir)
 
 
-@query()
+@query("SELECT * FROM all_ranked")
 def align_full_best(spark, sf_dir):
     return align.best(_full_scores(spark, sf_dir))
 
 
-@query()
+@query("SELECT CAST(-px AS DOUBLE) AS tx, CAST(-py AS DOUBLE) AS ty, CAST(tz AS DOUBLE) AS tz, CAST(c AS DOUBLE) AS rms, CAST(completeness AS DOUBLE) AS completeness, true AS ok FROM peak")
 def align_peak(spark, sf_dir):
     r = align.estimate(_full_scores(spark, sf_dir), FULL_ALIGN.gsd, FULL_ALIGN.maxt)
     return spark.createDataFrame([(r["tx"], r["ty"], r["tz"], r["rms"], r["completeness"], r["ok"])], "tx double, ty double, tz double, rms double, completeness double, ok boolean")
 
 
-@query()
+@query("SELECT printf('%08.3f %08.3f %08.3f %08.3f', -dx, -dy, tz, rms) AS value FROM all_ranked")
 def align_full_report(spark, sf_dir):
     return _report(align.best(_full_scores(spark, sf_dir)))
 
