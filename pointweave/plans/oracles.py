@@ -171,6 +171,8 @@ SELECT b."row", b.col, CAST(CASE WHEN h."row" IS NOT NULL THEN 240 ELSE b.v END
   SELECT DISTINCT b."row", b.col FROM base b LEFT JOIN dsm d ON b."row" = d."row" AND b.col = d.col JOIN (
     SELECT n."row" + i AS "row", n.col + j AS col, coalesce(e.v, 0) AS x FROM base n LEFT JOIN dsm e ON n."row" = e."row" AND n.col = e.col, off1 WHERE n.v = 240) n ON n."row" = b."row" AND n.col = b.col
   WHERE b.v = 200 AND abs(x - coalesce(d.v, 0)) < {units(1)}) h ON b."row" = h."row" AND b.col = h.col""")
+for _k in range(2, 6):  # each round starts from the one before
+    step(f"grown{_k}", re.sub(r"\bbase\b", "grown" if _k == 2 else f"grown{_k - 1}", STEPS["grown"]))
 step("major", """
 SELECT b."row", b.col, CAST(CASE WHEN coalesce(k, 0) >= ((CASE WHEN b."row" IN (0, ht - 1) THEN 2 ELSE 3 END) * (CASE WHEN b.col IN (0, wd - 1) THEN 2 ELSE 3 END)) // 2 THEN 240 ELSE b.v END AS INTEGER) AS v
 FROM base b LEFT JOIN (SELECT n."row" + i AS "row", n.col + j AS col, count(*) AS k FROM base n, off1 WHERE n.v = 240 GROUP BY 1, 2) n ON n."row" = b."row" AND n.col = b.col, fr""")

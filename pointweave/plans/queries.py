@@ -367,7 +367,7 @@ def class_edge_growth(spark, sf_dir):
     return focal.grow_buildings(b.base, b.dsm, P, rounds=1)
 
 
-@query()
+@query('SELECT "row", col, v FROM grown5')
 def class_edge_growth_full(spark, sf_dir):
     b = Bench(spark, sf_dir)
     return focal.grow_buildings(b.base, b.dsm, P)
@@ -410,6 +410,9 @@ def polygon_area(spark, sf_dir):
     return _ring(spark, sf_dir).select("label", geometry.ring_area(F.col("ring")).alias("area"))
 
 
+_RINGS_SQL = "SELECT CAST(k // 61 + 1 AS INTEGER) AS label, CAST(row_number() OVER (PARTITION BY k // 61 ORDER BY k) - 1 AS INTEGER) AS i, CAST(count(*) OVER (PARTITION BY k // 61) AS INTEGER) AS n, CAST(k * 37 % 101 AS DOUBLE) AS x, CAST(k * 53 % 97 AS DOUBLE) AS y FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey IS NOT NULL)"
+
+
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings from the whole orders table: keys 0 to 60 are the ring above with label 1, the next 61 label 2, and so on."""
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey IS NOT NULL").select("o_orderkey", F.expr("cast(o_orderkey div 61 + 1 as int)").alias("label")).distinct()
@@ -417,13 +420,15 @@ def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("label", "ring", F.array().cast("array<array<struct<x:double,y:double>>>").alias("inner_rings"))
 
 
-@query()
+@query(f"""WITH r AS ({_RINGS_SQL}) SELECT label, i, round((3.141592653589793e0 - acos(greatest(-1e0, least(1e0, dot / (la * lc))))) * la * lc, 6) AS metric FROM (
+  SELECT b.label, b.i, (a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) AS dot, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS la, sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) AS lc
+  FROM r b JOIN r a ON a.label = b.label AND a.i = ((b.i - 5) % b.n + b.n) % b.n JOIN r c ON c.label = b.label AND c.i = (b.i + 5) % b.n) WHERE la > 0 AND lc > 0""")
 def ring_corner_metric_all(spark, sf_dir):
     out = vector.corner_metric(vector.ring_points(_rings(spark, sf_dir)), 5)
     return out.select("label", "i", F.round("metric", 6).alias("metric"))
 
 
-@query()
+@query(f"WITH r AS ({_RINGS_SQL}) SELECT a.label, abs(sum(a.x * b.y - b.x * a.y)) / 2e0 AS area FROM r a JOIN r b ON b.label = a.label AND b.i = (a.i + 1) % a.n GROUP BY 1")
 def polygon_area_all(spark, sf_dir):
     return _rings(spark, sf_dir).select("label", geometry.ring_area(F.col("ring")).alias("area"))
 
