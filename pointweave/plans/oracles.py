@@ -281,3 +281,34 @@ step("peak", """
 SELECT *, CASE WHEN inside THEN CAST(CAST(-10 AS REAL) + CAST(i - CAST(CAST(CAST(yy * gx AS REAL) - CAST(xy * gy AS REAL) AS REAL) / det AS REAL) AS REAL) AS REAL) ELSE CAST(dx AS REAL) END AS px,
   CASE WHEN inside THEN CAST(CAST(-10 AS REAL) + CAST(j - CAST(CAST(CAST(xx * gy AS REAL) - CAST(xy * gx AS REAL) AS REAL) / det AS REAL) AS REAL) AS REAL) ELSE CAST(dy AS REAL) END AS py
 FROM (SELECT *, det <> 0 AND i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 AS inside FROM (SELECT *, CAST(CAST(xx * yy AS REAL) - CAST(xy * xy AS REAL) AS REAL) AS det FROM quadric))""")
+
+
+def smooth(cells: str, grid: str, above: str) -> str:
+    return f"""
+SELECT g."row", g.col, CAST(coalesce(c.v, m.v) AS INTEGER) AS v FROM {grid} g LEFT JOIN {cells} c ON c."row" = g."row" AND c.col = g.col LEFT JOIN (
+  SELECT k."row" + i AS "row", k.col + j AS col, sum(CASE WHEN i = 0 OR j = 0 THEN 2 ELSE 1 END * z) // sum(CASE WHEN i = 0 OR j = 0 THEN 2 ELSE 1 END) AS v FROM (
+    SELECT coalesce(c."row", p."row") AS "row", coalesce(c.col, p.col) AS col, coalesce(c.v, p.v) AS z FROM {cells} c FULL JOIN (
+      SELECT 2 * "row" + a.i AS "row", 2 * col + b.j AS col, v FROM {above}, range(0, 2) a(i), range(0, 2) b(j)) p ON c."row" = p."row" AND c.col = p.col) k, off1 GROUP BY 1, 2) m
+  ON m."row" = g."row" AND m.col = g.col WHERE coalesce(c.v, m.v) IS NOT NULL"""
+
+
+#: halvings after which a side of up to 1023 cells has one cell; further levels are empty
+DEPTH = 9
+for _k in range(3, DEPTH + 2):
+    step(f"sh{_k}", f"SELECT h // 2 AS h, w // 2 AS w FROM sh{_k - 1}")
+for _k in range(2, DEPTH + 1):
+    step(f"grid{_k}", f'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM sh{_k}, range(0, h) a(r), range(0, w) b(c)')
+
+
+def fill_all(name: str, cells: str, kind: str) -> None:
+    """name: square cells filled from every coarser level, "smooth" or "nearest"."""
+    for k in range(1, DEPTH + 1):
+        step(f"{name}_a{k}", level(cells if k == 1 else f"{name}_a{k - 1}", f"sh{k - 1}"))
+    for k in range(DEPTH - 1, -1, -1):
+        own, above, grid = f"{name}_a{k}" if k else cells, f"{name}_a{k + 1}" if k + 1 == DEPTH else f"{name}_b{k + 1}", f"grid{k}" if k else "whole"
+        step(f"{name}_b{k}" if k else name, smooth(own, grid, above) if kind == "smooth" else nearest(own, grid, above, f"sh{k + 1}"))
+
+
+fill_all("top_smooth", "top_raw", "smooth")
+fill_all("top_near", "top_raw", "nearest")
+fill_all("ground_smooth", "gterrain", "smooth")

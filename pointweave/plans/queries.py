@@ -285,6 +285,16 @@ def fill_smooth_1level(spark, sf_dir):
     return pyramid.fill(Bench(spark, sf_dir).top, smooth=True, levels=1).cells
 
 
+@query(CELLS.format("top_smooth"))
+def fill_smooth_all(spark, sf_dir):
+    return pyramid.fill(Bench(spark, sf_dir).top, smooth=True).cells
+
+
+@query(CELLS.format("top_near"))
+def fill_nearest_all(spark, sf_dir):
+    return pyramid.fill(Bench(spark, sf_dir).top).cells
+
+
 @query(CELLS.format("dsm"))
 def dsm(spark, sf_dir):
     return Bench(spark, sf_dir).dsm.cells
@@ -324,6 +334,12 @@ def dtm_from_ground_label(spark, sf_dir):
     return algebra.void_where_void(b.terrain, b.dsm).cells
 
 
+@query('SELECT t."row", t.col, CAST(t.v AS INTEGER) AS v FROM ground_smooth t SEMI JOIN dsm d ON t."row" = d."row" AND t.col = d.col')
+def dtm_smooth_from_ground_label(spark, sf_dir):
+    """The whole operator: terrain from points of class 2, voids filled smoothly from all levels."""
+    return Scene(scene_points(spark, sf_dir), replace(P, ground_label=2)).dtm0.cells
+
+
 # Components and classes
 
 
