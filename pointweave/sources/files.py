@@ -118,7 +118,19 @@ def load(spark: SparkSession, path: str):
 PIXELS = {(1, 8): "u1", (1, 16): "<u2", (3, 32): "<f4", (2, 16): "<i2", (1, 32): "<u4", (2, 32): "<i4", (3, 64): "<f8"}
 READABLE = ("u1", "<u2", "<f4")
 FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, FORMAT, SCALE, TIE, NODATA = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339, 33550, 33922, 42113
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, FORMAT, SCALE, TIE, KEYS, NODATA = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339, 33550, 33922, 34735, 42113
+#: Fixed values of the geographic keys: projected model, area pixels, and the codes of UTM zones on WGS84 and of the heights.
+MODEL, PIXEL, PROJECTED, VERTICAL = 1024, 1025, 3072, 4096
+NORTH, SOUTH, ELLIPSOID, GEOID = 32600, 32700, 5030, 5773
+
+
+def zone_code(zone: int) -> int:
+    """EPSG code of a UTM zone on WGS84; zones of the south are negative. 0: none."""
+    return 0 if not zone else NORTH + zone if zone > 0 else SOUTH - zone
+
+
+def code_zone(code: int) -> int:
+    return code - NORTH if NORTH < code <= NORTH + 60 else SOUTH - code if SOUTH < code <= SOUTH + 60 else 0
 
 
 def decode_geotiff(raw: bytes) -> tuple[np.ndarray, dict]:
@@ -142,16 +154,20 @@ def decode_geotiff(raw: bytes) -> tuple[np.ndarray, dict]:
     data = b"".join(raw[a : a + n] for a, n in zip(tags[STRIPS], tags[COUNTS], strict=True))
     sx, sy = tags.get(SCALE, (1.0, 1.0))[:2]
     tie = tags.get(TIE, (0.0, 0.0, 0.0, 0.0, h * sy, 0.0))
-    nodata = tags.get(NODATA)
-    return np.frombuffer(data, kind, h * w).reshape(h, w), {"easting": tie[3], "northing": tie[4] - h * sy, "gsd": (sx + sy) / 2, "nodata": float(nodata[0].split(b"\0")[0]) if nodata else 0.0}
+    nodata, keys = tags.get(NODATA), tags.get(KEYS, ())
+    code = next((v for k, place, _, v in zip(*(iter(keys[4:]),) * 4, strict=False) if k == PROJECTED and place == 0), 0)
+    return np.frombuffer(data, kind, h * w).reshape(h, w), {"easting": tie[3], "northing": tie[4] - h * sy, "gsd": (sx + sy) / 2, "nodata": float(nodata[0].split(b"\0")[0]) if nodata else 0.0, "zone": code_zone(code)}
 
 
-def encode_geotiff(pixels: np.ndarray, frame: Frame, nodata: float | None = None) -> bytes:
+def encode_geotiff(pixels: np.ndarray, frame: Frame, nodata: float | None = None, egm96: bool = False) -> bytes:
     kind = pixels.dtype.newbyteorder("<").str.replace("|", "")
     form, bits = next(k for k, v in PIXELS.items() if v == kind)
     h, w = pixels.shape
     fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [1]), (PHOTOMETRIC, 3, [1]), (STRIPS, 4, [8]), (SAMPLES, 3, [1]), (ROWS, 4, [h]), (COUNTS, 4, [pixels.nbytes]), (FORMAT, 3, [form])]
     fields += [(SCALE, 12, [frame.gsd, frame.gsd, 0.0]), (TIE, 12, [0.0, 0.0, 0.0, frame.easting, frame.northing + h * frame.gsd, 0.0])]
+    if frame.zone:
+        keys = [(MODEL, 1), (PIXEL, 1), (PROJECTED, zone_code(frame.zone)), (VERTICAL, GEOID if egm96 else ELLIPSOID)]
+        fields.append((KEYS, 3, [1, 1, 0, len(keys), *(x for k, v in keys for x in (k, 0, 1, v))]))
     if nodata is not None:
         text = f"{nodata:g}".encode() + b"\0"
         fields.append((NODATA, 2, [text]))
@@ -178,11 +194,11 @@ def read_geotiff(spark: SparkSession, path: str) -> Raster:
             for raw in pdf["content"]:
                 z, head = decode_geotiff(raw)
                 good = z[z != head["nodata"]].astype("f4")
-                yield pd.DataFrame([(head["easting"], head["northing"], head["gsd"], z.shape[1], z.shape[0], float(good.min()) if good.size else 0.0, float(good.max()) if good.size else 0.0)])
+                yield pd.DataFrame([(head["easting"], head["northing"], head["gsd"], z.shape[1], z.shape[0], float(good.min()) if good.size else 0.0, float(good.max()) if good.size else 0.0, head["zone"])])
 
-    r = files.mapInPandas(facts, "e double, n double, g double, w int, h int, lo double, hi double").first()
+    r = files.mapInPandas(facts, "e double, n double, g double, w int, h int, lo double, hi double, z int").first()
     low, high = f32(r.lo) - f32(1), f32(r.hi) + f32(1)
-    frame = Frame(r.e, r.n, r.g, r.w, r.h, float((high - low) / f32(65535)), float(low))
+    frame = Frame(r.e, r.n, r.g, r.w, r.h, float((high - low) / f32(65535)), float(low), r.z)
 
     def cells(batches):
         for pdf in batches:
@@ -195,14 +211,14 @@ def read_geotiff(spark: SparkSession, path: str) -> Raster:
     return Raster(files.mapInPandas(cells, CELLS).where("v != 0"), frame)
 
 
-def geotiff_bytes(raster: Raster, void: float = -10000.0) -> DataFrame:
+def geotiff_bytes(raster: Raster, void: float = -10000.0, egm96: bool = False) -> DataFrame:
     """The raster as one binary value of metres; for rasters that fit a task."""
     z, f = to_metres(raster), raster.frame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dense = np.full((f.height, f.width), void, "f4")
         dense[pdf["row"], pdf["col"]] = pdf["z"]
-        return pd.DataFrame({"content": [encode_geotiff(dense, f, void)]})
+        return pd.DataFrame({"content": [encode_geotiff(dense, f, void, egm96)]})
 
     return z.withColumn("whole", F.lit(True)).groupBy("whole").applyInPandas(run, "content binary")
 
@@ -211,13 +227,18 @@ def geotiff_bytes(raster: Raster, void: float = -10000.0) -> DataFrame:
 
 
 def write_outlines(polygons: DataFrame, frame: Frame, path: str) -> bool:
-    """GeoJSON features, one per line, with an integer Label. Without polygons nothing is written: False."""
+    """GeoJSON features, one per line, with an integer Label and the zone's reference system. Without polygons nothing is
+    written: False."""
     table = geo_table(polygons, frame)
     if table.isEmpty():
         return False
     ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.concat(F.array(ring(F.col("ring"))), F.transform("inner_rings", ring)).alias("coordinates"))
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("label").alias("Label")).alias("properties"), geometry.alias("geometry")))
+    parts = [F.lit("Feature").alias("type"), F.struct(F.col("label").alias("Label")).alias("properties"), geometry.alias("geometry")]
+    if frame.zone:
+        name = F.struct(F.lit(f"urn:ogc:def:crs:EPSG::{zone_code(frame.zone)}").alias("name"))
+        parts.append(F.struct(F.lit("name").alias("type"), name.alias("properties")).alias("crs"))
+    feature = F.to_json(F.struct(*parts))
     table.select(feature.alias("value")).write.mode("overwrite").text(path)
     return True
 
