@@ -33,7 +33,7 @@ from pointweave.llm.common import lean_batches, materialize, small
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker keeps at a time.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_400_000
 #: Classes of lengths for pricing, the weights' rate, the most of a length that one step covers, and the share of the
 #: tokens that configurations hold.
 CLASSES, ETA, STEP, COVERED = 256, 4.0, 0.25, 0.97
