@@ -36,7 +36,7 @@ END_ID = 1
 CACHED_WORDS = 1_400_000
 #: Classes of lengths for pricing, the weights' rate, the most of a length that one step covers, and the share of the
 #: tokens that configurations hold.
-CLASSES, ETA, STEP, COVERED = 256, 4.0, 0.25, 0.97
+CLASSES, ETA, STEP, COVERED = 64, 4.0, 0.25, 0.97
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
