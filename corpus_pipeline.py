@@ -1,7 +1,12 @@
 """Training-corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All stages but the last return the columns of documents. ``run`` writes each stage's rows to the shared scratch folder and
-rereads them as the next one's documents.
+All stages but the last return the columns of documents, whatever further columns there are and whatever they are called.
+``run`` writes each stage's rows to the shared scratch folder and rereads them as the next one's documents.
+
+Null and empty texts fail the quality rules and go; rows with a null source are one host. Very long texts are judged whole and
+packed in pieces. Of texts that link, the least doc_id stays (a tie has none smaller); rows that repeat share a doc_id and
+are judged by row, but in the near-copy stage they stay or go together. A null doc_id links with nothing. An empty table
+gives an empty result, and an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
