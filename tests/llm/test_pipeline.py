@@ -49,3 +49,25 @@ def test_each_stage_on_its_input(spark, tmp_path):
     assert len(all_) > len(good) > len(one) > len(clean) > len(safe) > 60
     packed = c.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == safe
+
+
+def test_edge_cases(spark, tmp_path):
+    """Null source and doc_id, repeated rows, a very long text, clashing columns, an empty benchmark, an empty table."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghilmnoprst", k=5)) for _ in range(n))
+    lone, twice, long = say(60), say(60), say(30000)
+    rows = [(1, lone, None), (2, twice, "a"), (2, twice, "a"), (3, long, "a"), (None, say(70), "a"), (4, None, None), (5, "", "a"), (6, "few words", "a"), (7, twice, "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, _kept int, row long, sequence_id string"
+    full = [(d, t, "en", s, len(t or ""), "clash", 1, 2, "x") for d, t, s in rows]
+    for name, own in (("full", full), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in c.STAGES[:-1]:
+            kept = stage(spark, docs, sf)
+            assert kept.columns == docs.columns
+        packed = c.run(spark, sf).collect()
+        assert sorted({r.doc_id for r in packed}, key=str) == ([1, 2, 3, None] if own else [])
+        assert sum(r.length for r in packed if r.doc_id == 3) > 30000 or not own
+        assert sum(r.doc_id == 2 for r in packed) == (2 if own else 0)
