@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +42,63 @@ def outlines(labels: DataFrame) -> DataFrame:
     return rings.where("label > 0").join(holes, F.col("label") == F.col("owner"), "left").select("label", "ring", F.coalesce("inner_rings", none).alias("inner_rings"))
 
 
+#: Points of changed rings that are gathered before they are handed on.
+GATHERED = 1 << 16
+
+
+def _unpacked(rings: pa.ListArray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Where each list ends, from 0, and the flat x and y of all its points."""
+    ends, points = rings.offsets.to_numpy(), rings.values
+    x, y = (points.field(k).to_numpy()[ends[0] : ends[-1]] for k in "xy")
+    return (ends - ends[0]).tolist(), x, y
+
+
+class _Packed:
+    """Lists of points, kept as flat arrays."""
+
+    def __init__(self):
+        self.ends, self.xy = array("i", [0]), array("d")
+
+    def add(self, ring) -> None:
+        self.xy.extend(float(c) for p in ring for c in p)
+        self.ends.append(len(self.xy) // 2)
+
+    def arrow(self) -> pa.ListArray:
+        xy = np.array(self.xy, float).reshape(-1, 2)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["x", "y"]))
+
+
 def _rings_apply(polygons: DataFrame, change) -> DataFrame:
-    """Apply a ring function to outer and inner rings; empty ones are dropped."""
-    tuples = lambda ring: [(p["x"], p["y"]) for p in ring]
+    """Apply a ring function to outer and inner rings; empty ones are dropped. One ring at a time is Python objects."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for label, ring, inner in zip(pdf["label"], pdf["ring"], pdf["inner_rings"], strict=True):
-                outer = change(tuples(ring))
-                if len(outer):
-                    holes = [h for r in inner if len(h := change(tuples(r)))]
-                    rows.append((label, _points(outer), [_points(h) for h in holes]))
-            yield pd.DataFrame(rows, columns=["label", "ring", "inner_rings"])
-
-    return polygons.select("label", "ring", "inner_rings").mapInPandas(run, f"label int, ring {RING}, inner_rings array<{RING}>")
+        for batch in batches:
+            ends, x, y = _unpacked(batch.column("ring"))
+            inner = batch.column("inner_rings")
+            owns = (inner.offsets.to_numpy() - inner.offsets[0].as_py()).tolist()
+            inner_ends, ix, iy = _unpacked(inner.flatten())
+            ring = lambda e, u, v, k: change(list(zip(u[e[k] : e[k + 1]].tolist(), v[e[k] : e[k + 1]].tolist(), strict=True)))
+            labels, outers, holes, held = [], _Packed(), _Packed(), array("i", [0])
+
+            def made():
+                return pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), outers.arrow(), pa.ListArray.from_arrays(pa.array(held, pa.int32()), holes.arrow())], ["label", "ring", "inner_rings"])
+
+            for k, label in enumerate(batch.column("label").to_pylist()):
+                outer = ring(ends, x, y, k)
+                if not len(outer):
+                    continue
+                labels.append(label)
+                outers.add(outer)
+                for h in range(owns[k], owns[k + 1]):
+                    if len(hole := ring(inner_ends, ix, iy, h)):
+                        holes.add(hole)
+                held.append(len(holes.ends) - 1)
+                if len(outers.xy) + len(holes.xy) >= 2 * GATHERED:
+                    yield made()
+                    labels, outers, holes, held = [], _Packed(), _Packed(), array("i", [0])
+            yield made()
+
+    return polygons.select("label", "ring", "inner_rings").mapInArrow(run, f"label int, ring {RING}, inner_rings array<{RING}>")
 
 
 def building_simplify(polygons: DataFrame, scale: int = 36) -> DataFrame:
