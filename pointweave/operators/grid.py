@@ -94,10 +94,17 @@ def intensity(points: DataFrame, meta: CloudMeta, dsm: Raster, params: ScenePara
     return dsm.with_cells(means.select("row", "col", v.alias("v")).where("v != 0"))
 
 
+#: Cells of the largest terrain that every executor gets (some 25 MB); a larger one meets the points by a shuffle.
+SENT_CELLS = 1 << 19
+
+
 def lowest_above(points: DataFrame, meta: CloudMeta, dsm: Raster, dtm: Raster, params: SceneParams) -> Raster:
-    """Lowest raw height that is over the terrain by more than the above-ground threshold."""
-    over = splat(points.select("x", "y", "z"), meta, dsm.frame).withColumn("q", F.col("q").bitwiseAND(65535))
-    over = over.groupBy("row", "col", "q").agg(F.count(F.lit(1)).alias("n")).join(dtm.cells, ["row", "col"]).where(F.col("q") > F.col("v") + dsm.frame.units(params.agl))
+    """Lowest raw height that is over the terrain by more than the above-ground threshold. A point meets its cells' terrain
+    first, as the build side of a hash join, so that only cells are grouped."""
+    f = dsm.frame
+    floor = dtm.cells.select("row", "col", (F.col("v") + f.units(params.agl)).alias("floor"))
+    floor = F.broadcast(floor) if f.width * f.height <= SENT_CELLS else floor.hint("shuffle_hash")
+    over = splat(points.select("x", "y", "z"), meta, f).withColumn("q", F.col("q").bitwiseAND(65535)).join(floor, ["row", "col"]).where("q > floor")
     return dsm.with_cells(over.groupBy("row", "col").agg(F.min("q").alias("v")))
 
 
