@@ -56,8 +56,13 @@ def projected(points: DataFrame, meta: CloudMeta, frame: Frame) -> DataFrame:
 
 def splat(points: DataFrame, meta: CloudMeta, frame: Frame) -> DataFrame:
     """Up to four rows (row, col, q, ...) per point: the cells (r..r+1, c..c+1) inside the frame."""
+    return _spread(projected(points, meta, frame), frame)
+
+
+def _spread(based: DataFrame, frame: Frame) -> DataFrame:
+    """Rows with r and c to those of the cells (r..r+1, c..c+1) inside the frame."""
     spots = F.explode(F.array(*[F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col")) for i in (0, 1) for j in (0, 1)]))
-    out = projected(points, meta, frame).withColumn("at", spots).select("*", "at.row", "at.col").drop("at", "r", "c")
+    out = based.withColumn("at", spots).select("*", "at.row", "at.col").drop("at", "r", "c")
     return out.where(F.col("row").between(0, frame.height - 1) & F.col("col").between(0, frame.width - 1))
 
 
@@ -70,10 +75,11 @@ def _window(points: DataFrame, frame: Frame, bounds) -> DataFrame:
 
 
 def grid(points: DataFrame, meta: CloudMeta, gsd: float, how: str = "max", bounds=None, like: Frame | None = None) -> Raster:
-    """Highest or lowest raw height per cell."""
+    """Highest or lowest raw height per cell. Points of one first cell combine before they are spread over four."""
     frame = frame_of(meta, gsd, bounds, like)
     best = {"max": F.max, "min": F.min}[how]
-    cells = splat(_window(points, frame, bounds).select("x", "y", "z"), meta, frame).where("q != 0").groupBy("row", "col").agg(best("q").alias("v"))
+    based = projected(_window(points, frame, bounds).select("x", "y", "z"), meta, frame).where("q != 0").groupBy("r", "c").agg(best("q").alias("q"))
+    cells = _spread(based, frame).groupBy("row", "col").agg(best("q").alias("v"))
     return Raster(cells, frame)
 
 

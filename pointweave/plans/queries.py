@@ -40,10 +40,12 @@ def query(sql: str | None = None):
 
 
 class Bench:
-    """The scene's points and the rasters of its chain, made on demand."""
+    """The scene's points and the rasters of its chain, made on demand. Numbering the points sorts them all, so they have a
+    point_id only where it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.points = store(scene_points(spark, sf_dir), "points")
+    def __init__(self, spark: SparkSession, sf_dir: str, numbered: bool = False):
+        points = scene_points(spark, sf_dir)
+        self.points = store(points if numbered else points.drop("point_id"), "points")
 
     def __getattr__(self, name: str):
         made = {
@@ -312,7 +314,7 @@ def dsm2(spark, sf_dir):
 
 @query(CELLS.format("inten"))
 def intensity(spark, sf_dir):
-    b = Bench(spark, sf_dir)
+    b = Bench(spark, sf_dir, numbered=True)
     return pyramid.fill(grid.intensity(b.points, b.meta, b.dsm, P), levels=2).cells
 
 
